@@ -18,6 +18,7 @@ _TAIL = re.compile(
     r"|(?:\s+jj?\.)$",
     re.I,
 )
+_MAYBE_TAIL = re.compile(r"[,(&]| and |\bby\b|thr|rep|JJ?\.$", re.I)
 # Short given names and the names they stand for.
 NICKNAMES = {
     "jack": "john", "johnny": "john", "jenny": "jennifer", "jen": "jennifer", "dick": "richard", "rick": "richard", "rich": "richard", "ben": "benjamin", "benny": "benjamin", "ted": "edward theodore", "ed": "edward", "eddie": "edward", "ned": "edward", "theo": "theodore",
@@ -98,7 +99,7 @@ def is_org(f: str) -> bool:
 def parse(spelling: str) -> list[Name]:
     """The readings of one spelling, the likeliest first; empty if there is no name in it."""
     s = spelling
-    for _ in range(4):
+    while _MAYBE_TAIL.search(s):
         t = _TAIL.sub("", s).strip(" ,;")
         if t == s or not t:
             break
@@ -157,12 +158,10 @@ def parse(spelling: str) -> list[Name]:
     return out
 
 
-def choices(spelling: str) -> int:
+def choices(spelling: str, got: list[Name]) -> int:
     """1: one reading; 2: either word may be the surname; 3: the short given name stands for several names."""
-    got = parse(spelling)
-    if not got or got[0].kind == "org":
+    if len(got) < 2 or got[0].kind == "org":
         return 1
-    f = re.sub(r'["“(][^"”)]*["”)]', " ", fold(spelling))
-    if any(" " in NICKNAMES.get(w, "") for w in re.findall(r"[^\W\d_]+", f)):
+    if len({(n.surname, n.middle) for n in got}) < len(got) and any(" " in NICKNAMES.get(w, "") for w in re.findall(r"[^\W\d_]+", fold(spelling))):
         return 3
     return 2 if len({sound(n.surname) for n in got}) > 1 else 1

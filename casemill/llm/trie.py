@@ -8,6 +8,7 @@ as soon as no bit is set.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 
 class Trie:
@@ -24,38 +25,33 @@ class Trie:
             node = node.setdefault(ch, {})
         node[""] = key
 
-    def near(self, probe: str, most: int = 2) -> Iterator[tuple[str, int]]:
-        """(key, edits) of every stored key within ``most`` edits of ``probe``."""
+    def near(self, probe: str) -> Iterator[tuple[str, int]]:
+        """(key, edits) of every stored key within two edits of ``probe``.
+
+        r0, r1, r2: which prefixes of the probe are reached with at most 0, 1, 2 edits; t1, t2: those one letter into a swap.
+        """
         n = len(probe)
         masks: dict[str, int] = {}
         for i, ch in enumerate(probe):
             masks[ch] = masks.get(ch, 0) | 1 << i
-        full, goal, ks = (1 << (n + 1)) - 1, 1 << n, range(1, most + 1)
-        start = tuple((1 << (k + 1)) - 1 & full for k in range(most + 1))
-        stack = [(self.root, start, (0,) * (most + 1))]
+        full, goal, get = (1 << (n + 1)) - 1, 1 << n, masks.get
+        stack = [(self.root, 1, 3 & full, 7 & full, 0, 0)]
         while stack:
-            node, rows, swaps = stack.pop()
+            node, r0, r1, r2, t1, t2 = stack.pop()
             for ch, child in node.items():
                 if ch == "":
-                    for k in range(most + 1):
-                        if rows[k] & goal:
-                            yield child, k
-                            break
+                    if r2 & goal:
+                        yield child, 0 if r0 & goal else 1 if r1 & goal else 2
                     continue
-                m = masks.get(ch, 0)
-                before = rows[0]
-                new = (before & m) << 1
-                nrows, nswaps = [new], [0]
-                for k in ks:
-                    row = rows[k]
-                    nswaps.append(before & (m >> 1))
-                    new = (((row & m) << 1) | before | (before << 1) | (new << 1) | ((swaps[k] & m) << 2)) & full
-                    nrows.append(new)
-                    before = row
-                if new or nswaps[-1]:
-                    stack.append((child, tuple(nrows), tuple(nswaps)))
+                m = get(ch, 0)
+                s0 = ((r0 & m) << 1) & full
+                s1 = (((r1 & m) << 1) | r0 | (r0 << 1) | (s0 << 1) | ((t1 & m) << 2)) & full
+                s2 = (((r2 & m) << 1) | r1 | (r1 << 1) | (s1 << 1) | ((t2 & m) << 2)) & full
+                if s2:
+                    stack.append((child, s0, s1, s2, r0 & (m >> 1), r1 & (m >> 1)))
 
 
+@lru_cache(100_000)
 def edits(a: str, b: str, most: int = 2) -> int:
     """The edit distance with swaps of neighbours, or ``most + 1`` if it is larger."""
     if a == b:
