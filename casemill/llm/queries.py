@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import canonical, linking
+from casemill.llm import canonical, linking, reference, scans
 from casemill.session import written
 
 
@@ -13,6 +13,21 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_PARTS = {"header": F.col, "body": F.col, "order_text": F.col}
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = {k: f(k) for k, f in _PARTS.items()}
+    found = scans.find_defects(_t(spark, sf, "segments"), "segment_id", parts, "header")
+    return found.select(F.col("id").alias("segment_id"), "part_name", "line_no", "defect").distinct()
+
+
+def p1_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The repaired text of all segments as paragraphs."""
+    parts = {k: f(k) for k, f in _PARTS.items()}
+    return scans.repair(_t(spark, sf, "segments"), "segment_id", parts, "header").withColumnRenamed("id", "segment_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     s = _t(spark, sf, "structured").select("record_id", "matter_no", "case_name", "coram")
     return canonical.same_looking_pairs(s, "record_id", "matter_no", {"case_name": F.col("case_name"), "coram": canonical.joined(F.col("coram"))})
@@ -29,5 +44,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return linking.spelling_pairs(linking.link_spellings(occurrences))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    s = _t(spark, sf, "structured").select("record_id", "court", "statutes")
+    fields = {"court": ("COURT", F.array("court")), "statutes": ("STATUTE", F.col("statutes"))}
+    found = reference.match_reference(s, "record_id", fields, _t(spark, sf, "gazetteer"))
+    return found.select(F.col("id").alias("record_id"), "field_name", "pos", "entry_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
