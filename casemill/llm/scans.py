@@ -7,7 +7,7 @@ marks each line of each text with its defects, choosing for a word that is not a
 its neighbours support. ``repair`` then drops furniture, mends words and reflows lines into paragraphs with SQL windows.
 
 What is sent to the executors is bounded: words and word pairs that make up at least ``SHARE`` of the corpus (at most 1/SHARE of
-each), and masked lines seen in at least ``SHARE`` of the segments.
+each), and masked lines that make up at least ``HEADER_SHARE`` of the lines beside page numbers.
 
 Defined results: null and empty texts have no lines to report; a line of white space is blank and has no defect; texts of any
 length are read whole; repeated rows repeat with their ids; empty tables give empty results.
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARE = 1e-6  # of all words (of all segments, for headers): what counts as frequent
+SHARE = 1e-6  # of all words: what counts as frequent
+HEADER_SHARE = 1e-3  # of all lines beside page numbers
+LONGEST = 30  # letters of a word that is looked up; longer runs are codes
 DWARFED = 20  # a form this many times rarer than the first of its skeleton is not accepted
 
 # Glyphs that scanners take for each other, spelled out in common strokes.
-_STROKES = {"o": "o", "c": "o", "e": "o", "0": "o", "l": "l", "i": "l", "1": "l", "|": "l", "!": "l", "s": "s", "5": "s", "$": "s", "a": "a", "@": "a", "g": "g", "q": "g", "9": "g", "t": "t", "f": "t", "n": "rl", "u": "ll", "h": "ll", "b": "ll", "d": "ol", "m": "rrl", "w": "vv", "8": "ll", "6": "ll", "z": "z", "2": "z"}
+_STROKES = {"o": "o", "c": "o", "e": "o", "0": "o", "l": "l", "i": "l", "1": "l", "|": "l", "!": "l", "s": "s", "5": "s", "$": "s", "a": "a", "@": "a", "g": "g", "q": "g", "9": "g", "t": "t", "f": "t", "n": "rl", "u": "ll", "h": "ll", "b": "ll", "d": "ol", "m": "rrl", "w": "vv", "v": "v", "y": "v", "8": "ll", "6": "ll", "z": "z", "2": "z"}
 _TABLE = str.maketrans(_STROKES)
 _BREAKS = "-­¬‐"
 _CORE = re.compile(r"^[^\w@]+|[^\w@]+$")
@@ -80,13 +82,13 @@ def _counting(parts: tuple[str, ...]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
         pairs: Counter[tuple[str, str]] = Counter()
-        lines: Counter[str] = Counter()
+        lines: Counter[tuple[str, str]] = Counter()
 
         def flush() -> pa.RecordBatch:
             n = [*words.values(), *pairs.values(), *lines.values()]
-            a = [*words, *(x for x, _ in pairs), *lines]
+            a = [*words, *(x for x, _ in pairs), *(x for _, x in lines)]
             b = [*[None] * len(words), *(y for _, y in pairs), *[None] * len(lines)]
-            k = [*["word"] * len(words), *["pair"] * len(pairs), *["line"] * len(lines)]
+            k = [*["word"] * len(words), *["pair"] * len(pairs), *(k for k, _ in lines)]
             words.clear()
             pairs.clear()
             lines.clear()
@@ -100,8 +102,9 @@ def _counting(parts: tuple[str, ...]):  # noqa: ANN202
                         continue
                     split = text.split("\n")
                     pages = page_lines(split)
-                    for j in _beside(split, pages):
-                        seen.add(masked(split[j]))
+                    seen.update(("line", masked(split[j])) for j in _beside(split, pages))
+                    if first := next((x for x in split if x.strip()), None):
+                        seen.add(("first", masked(first[:200])))
                     last = ""
                     for t in text.lower().split():
                         w = t if t.isalpha() else core(t)
@@ -137,8 +140,8 @@ class Lexicon:
 
     def better(self, word: str, before: str, after: str) -> str | None:
         """The frequent form that a lower-case word was misread from, if its neighbours support one."""
-        if word in self.accepted or len(word) < 2 or word.isdigit() or _ORDINAL.fullmatch(word):
-            return None
+        if word in self.accepted or not 1 < len(word) <= LONGEST or word.upper() == word or _ORDINAL.fullmatch(word):
+            return None  # known, a code, or without letters
         best, most = None, 0
         own = max(self.pairs.get((before, word), 0), self.pairs.get((word, after), 0))
         for form in self.forms.get(skeleton(word), ()):
@@ -163,9 +166,11 @@ def gather(segments: DataFrame, id_col: str, parts: dict[str, Column]) -> tuple[
     counts = written(counts.where("n > 1"), "scan-counts")
     total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     least = max(2, int(SHARE * total.get("word", 0)))
-    common = counts.where(((F.col("kind") != "line") & (F.col("n") >= least)) | ((F.col("kind") == "line") & (F.col("n") >= max(5, int(SHARE * total.get("line", 0)))))).collect()
+    common = counts.where((F.col("kind").isin("word", "pair") & (F.col("n") >= least)) | (F.col("kind").isin("line", "first") & (F.col("n") >= max(5, int(HEADER_SHARE * total.get("line", 0)))))).collect()
     of = lambda k: [r for r in common if r["kind"] == k]
-    return [(r["a"], r["n"]) for r in of("word")], [(r["a"], r["b"], r["n"]) for r in of("pair")], [r["a"] for r in of("line")]
+    headings = {r["a"]: r["n"] for r in of("first")}  # a line that opens more texts than it stands at page breaks is a heading
+    headers = [r["a"] for r in of("line") if r["n"] > headings.get(r["a"], 0)]
+    return [(r["a"], r["n"]) for r in of("word")], [(r["a"], r["b"], r["n"]) for r in of("pair")], headers
 
 
 def furniture(lines: list[str], captions: list[str], headers: set[str], repeated: Counter[str]) -> set[int]:
@@ -174,7 +179,7 @@ def furniture(lines: list[str], captions: list[str], headers: set[str], repeated
     found = set(pages)
     for j in _beside(lines, pages):
         m = masked(lines[j])
-        if len(m) > 4 and (m in headers or (repeated[m] > 1 and len(m) > 12) or any(c in m and len(m) < 2 * len(c) + 40 for c in captions)) and not re.search(r"[.;,:]$", lines[j].strip()):
+        if len(m) > 4 and (m in headers or (repeated[m] > 1 and len(m) > 12) or any(c in m and len(m) < 2 * len(c) + 40 for c in captions)) and not re.search(r"[.;,:]$", lines[j].strip()) and not lines[j].strip()[0].islower():
             found.add(j)
     return found
 
@@ -220,7 +225,7 @@ def defects(parts: list[str | None], header: str | None, lex: Lexicon) -> list[t
                     k += 2
                     continue
             w = lower[k]
-            if w and w not in lex.accepted:
+            if w and w not in lex.accepted and (not core(t).isupper() or _MIXED.search(w)):
                 meant = lex.better(w, lower[k - 1] if k else "", lower[k + 1] if k + 1 < n else "")
                 if meant:
                     out.append((p, i, "misread", t, meant))
