@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import canonical, linking, reference, scans
+from casemill.llm import canonical, linking, mixing, packing, reference, scans, splitting, tokens
 from casemill.session import written
 
 
@@ -51,5 +51,49 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("record_id"), "field_name", "pos", "entry_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+
+def _limit(spark: SparkSession, sf: str, name: str) -> int:
+    return int(_t(spark, sf, "size_limits").where(F.col("limit_name") == name).select("amount").collect()[0][0])
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """All pieces of all segment bodies."""
+    s = _t(spark, sf, "segments").select("segment_id", "body")
+    return splitting.split_texts(s, "segment_id", "body", _limit(spark, sf, "body_max"), _limit(spark, sf, "body_overlap")).withColumnRenamed("id", "segment_id")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pieces(spark, sf).where("piece_no = 1 AND n_pieces > 1").select("segment_id")
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Which container holds which part of which document."""
+    n = written(tokens.count_tokens(_t(spark, sf, "documents"), "doc_id", "text", []), "lengths")
+    return packing.fill_containers(n, _limit(spark, sf, "pack_capacity")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf), _limit(spark, sf, "pack_capacity"))
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = [(r["source_name"], r["target_share"], r["max_repeats"]) for r in _t(spark, sf, "mix_targets").orderBy("source_name").collect()]
+    return mixing.mixture(tokens.count_tokens(_t(spark, sf, "documents"), "doc_id", "text", ["source"]), targets)
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The slots of the mixture with the document pieces that fill them."""
+    return _mix(spark, sf)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+}
+SQL: dict[str, str] = {
+    "p6_found": "SELECT segment_id FROM segments WHERE length(body) > (SELECT amount FROM size_limits WHERE limit_name = 'body_max')",
+}
