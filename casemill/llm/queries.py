@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import canonical, linking, mixing, packing, reference, scans, splitting, tokens
+from casemill.llm import canonical, linking, mixing, packing, reading, reference, scans, splitting, tokens
 from casemill.session import written
 
 
@@ -90,9 +90,13 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(_t(spark, sf, "documents"), _t(spark, sf, "level_labels"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
-    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 SQL: dict[str, str] = {
     "p6_found": "SELECT segment_id FROM segments WHERE length(body) > (SELECT amount FROM size_limits WHERE limit_name = 'body_max')",
