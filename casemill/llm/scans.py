@@ -85,10 +85,17 @@ def _counting(parts: tuple[str, ...]):  # noqa: ANN202
         lines: Counter[tuple[str, str]] = Counter()
 
         def flush() -> pa.RecordBatch:
-            n = [*words.values(), *pairs.values(), *lines.values()]
-            a = [*words, *(x for x, _ in pairs), *(x for _, x in lines)]
-            b = [*[None] * len(words), *(y for _, y in pairs), *[None] * len(lines)]
-            k = [*["word"] * len(words), *["pair"] * len(pairs), *(k for k, _ in lines)]
+            cores = {t: t if t.isalpha() else core(t) for t in words}
+            by_core: Counter[str] = Counter()
+            for t, k in words.items():
+                by_core[cores[t]] += k
+            beside: Counter[tuple[str, str]] = Counter()
+            for (x, y), k in pairs.items():
+                beside[cores.get(x) or core(x), cores.get(y) or core(y)] += k
+            n = [*by_core.values(), *beside.values(), *lines.values()]
+            a = [*by_core, *(x for x, _ in beside), *(x for _, x in lines)]
+            b = [*[None] * len(by_core), *(y for _, y in beside), *[None] * len(lines)]
+            k = [*["word"] * len(by_core), *["pair"] * len(beside), *(k for k, _ in lines)]
             words.clear()
             pairs.clear()
             lines.clear()
@@ -105,20 +112,31 @@ def _counting(parts: tuple[str, ...]):  # noqa: ANN202
                     seen.update(("line", masked(split[j])) for j in _beside(split, pages))
                     if first := next((x for x in split if x.strip()), None):
                         seen.add(("first", masked(first[:200])))
-                    last = ""
-                    for t in text.lower().split():
-                        w = t if t.isalpha() else core(t)
-                        words[w] += 1
-                        pairs[last, w] += 1
-                        last = w
+                    tokens = text.lower().split()
+                    words.update(tokens)
+                    pairs.update(zip(tokens, tokens[1:]))
                 lines.update(seen)
-            if len(pairs) > 300_000:
-                yield flush()
+                if len(pairs) > 400_000:
+                    yield flush()
         yield flush()
 
     return run
 
 
+class _Known(dict):
+    """Tokens in lower case that need no second look, found out once each."""
+
+    def __init__(self, lex: Lexicon) -> None:
+        self.lex = lex
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        w = core(token)
+        self[token] = known = not w or w in self.lex.accepted or not any(map(str.isalpha, w))
+        return known
+
+
 class Lexicon:
     """Accepted words by skeleton, frequent neighbours and running headers, as gathered from the corpus."""
 
@@ -129,6 +147,7 @@ class Lexicon:
         groups: dict[str, list[str]] = defaultdict(list)
         for w, _ in sorted(words, key=lambda x: (-x[1], x[0])):
             groups[skeleton(w)].append(w)
+        self.known = _Known(self)
         self.accepted: set[str] = set()
         self.forms: dict[str, list[str]] = {}
         for k, ws in groups.items():
@@ -197,16 +216,16 @@ def defects(parts: list[str | None], header: str | None, lex: Lexicon) -> list[t
             continue
         gone = furniture(lines, captions, lex.headers, repeated)
         out += [(p, i, "furniture", None, None) for i in sorted(gone)]
-        own = [i for i in range(len(lines)) if i not in gone and lines[i].strip()]
-        words = [(i, t) for i in own for t in lines[i].split()]
-        lower = [core(t.lower()) for _, t in words]
-        k, n = 0, len(words)
-        while k < n:
-            i, t = words[k]
-            last_of_line = k + 1 < n and words[k + 1][0] != i
-            if last_of_line and t[-1] in _BREAKS and len(t) > 1 and t[-2].isalpha():
-                left, right = lower[k], lower[k + 1]
-                before, after = lower[k - 1] if k else "", lower[k + 2] if k + 2 < n else ""
+        own = [(i, lines[i].split(), lines[i].lower().split()) for i in range(len(lines)) if i not in gone and lines[i].strip()]
+        skip = 0  # the first word of a line may belong to the line before
+        for at, (i, read, lower) in enumerate(own):
+            last = len(read)
+            follows = own[at + 1] if at + 1 < len(own) else None
+            t = read[-1]
+            if follows and last > skip and len(t) > 1 and t[-1] in _BREAKS and t[-2].isalpha() and follows[1][0][0].isalpha():
+                left, right = core(lower[-1]), core(follows[2][0])
+                before = core(lower[-2]) if last > 1 else core(own[at - 1][2][-1]) if at else ""
+                after = core(follows[2][1]) if len(follows[2]) > 1 else ""
                 joined, kept = left + right, f"{left}-{right}"
                 meant = None if joined in lex.accepted else lex.better(joined, before, after)
                 broken = max(lex.count.get(joined, 0), lex.count.get(meant or "", 0))
@@ -215,21 +234,24 @@ def defects(parts: list[str | None], header: str | None, lex: Lexicon) -> list[t
                     mend = broken >= hyphen
                 else:  # unknown either way: two words that stand alone are a compound
                     mend = t[-1] != "-" or not (lex.count.get(left, 0) > 20 and lex.count.get(right, 0) > 20)
-                if mend and words[k + 1][1][:1].isalpha():
-                    out.append((p, i, "hyphen", t + " " + words[k + 1][1], None))
-                    if meant:
-                        if not meant.endswith(right):
-                            out.append((p, words[k + 1][0], "misread", words[k + 1][1], meant))
-                        if not meant.startswith(left):
-                            out.append((p, i, "misread", t, meant))
-                    k += 2
+                if mend:
+                    last -= 1
+                    out.append((p, i, "hyphen", t + " " + follows[1][0], None))
+                    if meant and not meant.endswith(right):
+                        out.append((p, follows[0], "misread", follows[1][0], meant))
+                    if meant and not meant.startswith(left):
+                        out.append((p, i, "misread", t, meant))
+            for k in range(skip, last):
+                if lex.known[lower[k]]:
+                    continue
+                w = core(lower[k])
+                if core(read[k]).isupper() and not _MIXED.search(w):
                     continue
-            w = lower[k]
-            if w and w not in lex.accepted and (not core(t).isupper() or _MIXED.search(w)):
-                meant = lex.better(w, lower[k - 1] if k else "", lower[k + 1] if k + 1 < n else "")
-                if meant:
-                    out.append((p, i, "misread", t, meant))
-            k += 1
+                before = lower[k - 1] if k else own[at - 1][2][-1] if at else ""
+                after = lower[k + 1] if k + 1 < len(lower) else follows[2][0] if follows else ""
+                if meant := lex.better(w, core(before), core(after)):
+                    out.append((p, i, "misread", read[k], meant))
+            skip = int(last < len(read))
     return out
 
 
