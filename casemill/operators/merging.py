@@ -27,31 +27,39 @@ def is_probable_lawyer(name: Column) -> Column:
     return (F.size(F.split(F.btrim(name), r"\s+")) >= 2) & ~name.rlike(rules.NOT_A_LAWYER) & (F.length(name) >= 4)
 
 
-def cleaned_value(key: Column, value: Column) -> Column:
-    """The value as merged under its key, null if it is to be left out."""
+def with_clean_values(e: DataFrame, key: str, raw: str) -> DataFrame:
+    """Add ``value``, cleaned by the rules of its key; rows to be left out are gone.
+
+    Each step is a column of its own, and rows are dropped by exploding an array without nulls: a filter would be pushed below
+    the steps and repeat them.
+    """
     words = lambda c: F.size(F.split(F.btrim(c), r"\s+"))
-    v = text.clean_whitespace(value)
-    v = F.when(key == "statute", text.normalize_statute(v)).when(key == "coram", text.apply(v, text.JUDGE_PREFIX)).otherwise(v)
-    v = F.regexp_replace(v, r"^[.,;:]+|[.,;:]+$", "")
-    party = text.clean_party_name(v)
+    k = F.col(key)
+    e = e.withColumn("_w", text.clean_whitespace(F.col(raw)))
+    e = e.withColumn("_w", F.when(k == "statute", text.normalize_statute(F.col("_w"))).when(k == "coram", text.apply(F.col("_w"), text.JUDGE_PREFIX)).otherwise(F.col("_w")))
+    e = e.withColumn("_v", F.regexp_replace("_w", r"^[.,;:]+|[.,;:]+$", ""))
+    v = F.col("_v")
     lawyer = F.btrim(F.regexp_replace(v, r"(?i)\b(?:Sr\.?\s*Adv|Advocate|Adv\.|A\.S\.G\.?|A\.A\.G\.?|AOR)(?=$|\W)", ""))
-    single = (words(v) == 1) & ~v.rlike("(?i)justice") & ~v.contains(".") & (F.upper(v) != v)
-    out = (
-        F.when(key == "coram", F.when(v.rlike(r"(?i)^(?:and|&|-)$") | single, None).otherwise(v))
-        .when(key.isin("petitioner", "respondent"), F.when(words(party) >= 2, party))
-        .when(key == "organization", F.when(~(v.rlike(r"^[A-Z\s]{3,200}$") & (words(v) > 2)), v))
-        .when(key == "lawyer", F.when(is_probable_lawyer(lawyer), lawyer))
-        .when(key == "statute", F.when(F.length(v) >= 6, v))
-        .when(key == "precedent", F.when(F.length(v) >= 15, v))
-        .otherwise(v)
+    e = e.withColumn("_c", F.when(k.isin("petitioner", "respondent"), text.clean_party_name(v)).when(k == "lawyer", lawyer).otherwise(v))
+    c = F.col("_c")
+    single = (words(c) == 1) & ~c.rlike("(?i)justice") & ~c.contains(".") & (F.upper(c) != c)
+    keep = (
+        F.when(c == "", False)
+        .when(k == "coram", ~(c.rlike(r"(?i)^(?:and|&|-)$") | single))
+        .when(k.isin("petitioner", "respondent"), words(c) >= 2)
+        .when(k == "organization", ~(c.rlike(r"^[A-Z\s]{3,200}$") & (words(c) > 2)))
+        .when(k == "lawyer", is_probable_lawyer(c))
+        .when(k == "statute", F.length(c) >= 6)
+        .when(k == "precedent", F.length(c) >= 15)
+        .otherwise(True)
     )
-    return F.nullif(out, F.lit(""))
+    return e.withColumn("value", F.explode(F.array_compact(F.array(F.when(keep, c))))).drop("_w", "_v", "_c")
 
 
 def merge_entities(entities: DataFrame, id_col: str, provenance: str, seq: str, label: str, value: str) -> DataFrame:
     """(id_col, key, pos, value): distinct values (in lower case) of each key in provenance order; pos counts from 1."""
     e = entities.where(F.col(value).isNotNull()).select(id_col, label_key(F.col(label)).alias("key"), provenance_rank(F.col(provenance)).alias("rank"), F.col(seq).alias("seq"), F.col(value).alias("raw"))
-    e = e.withColumn("value", cleaned_value(F.col("key"), F.col("raw"))).where("value IS NOT NULL")
+    e = with_clean_values(e, "key", "raw")
     order = F.struct("rank", "seq", "raw")
     first = e.groupBy(id_col, "key", F.lower("value").alias("lower")).agg(F.min_by(F.struct("value", "rank", "seq", "raw"), order).alias("f"))
     w = Window.partitionBy(id_col, "key").orderBy("f.rank", "f.seq", "f.raw")
