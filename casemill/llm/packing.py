@@ -31,7 +31,7 @@ def boundaries(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS)
         n[min(length, capacity)] += k
     count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
     best = np.arange(capacity + 1) * count - total  # one bucket (0, j]
-    back = np.zeros((buckets, capacity + 1), dtype=int)
+    back = np.full((buckets, capacity + 1), -1)  # -1: this many buckets are no better than one less
     for b in range(1, buckets):
         new = best.copy()
         for j in range(1, capacity + 1):
@@ -42,11 +42,13 @@ def boundaries(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS)
         best = new
     out, j = [], capacity
     for b in range(buckets - 1, -1, -1):
-        if j <= 0:
-            break
+        if b and back[b, j] < 0:
+            continue
         out.append(j)
         j = int(back[b, j]) if b else 0
-    return sorted(set(out))
+        if not j:
+            break
+    return sorted(out)
 
 
 def pack_shard(items: list[tuple[int, int]], capacity: int, tops: list[int]) -> list[int]:
@@ -130,4 +132,4 @@ def fill_containers(lengths: DataFrame, capacity: int, buckets: int = BUCKETS) -
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens and the share of the capacity that is used."""
-    return packed.agg(F.countDistinct("container_id").alias("n_containers"), F.count("*").alias("n_parts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * capacity))
+    return packed.agg(F.countDistinct("container_id").alias("n_containers"), F.count("*").alias("n_parts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).withColumn("fill", F.col("n_tokens") / F.nullif(F.col("n_containers") * capacity, F.lit(0)))

@@ -294,7 +294,7 @@ def repair(segments: DataFrame, id_col: str, parts: dict[str, Column], header: s
     w = Window.partitionBy("id", "part_name").orderBy("line_no")
     starts = (F.col("line") == "") | (F.lag("line").over(w) == "") | F.col("line").rlike(r"^(?:\d+\.|¶|\(\d+\)|\[\d+\])\s") | F.lag("line").over(w).isNull()
     lines = lines.withColumn("starts", starts.cast("int")).withColumn("par_no", F.sum("starts").over(w)).where("line <> ''")
-    glued = F.when(F.coalesce("is_hyphen", F.lit(0)) == 1, F.regexp_replace("line", f"[{_BREAKS}]\\s*$", "")).otherwise(F.concat("line", F.lit(" ")))
+    glued = F.when(F.coalesce("is_hyphen", F.lit(0)) == 1, F.regexp_replace("line", f"[{_BREAKS}]\\s*$", "")).when(F.col("line").rlike(r"\p{L}-$"), F.col("line")).otherwise(F.concat("line", F.lit(" ")))  # a hyphen of the word's own stays
     pieces = F.array_sort(F.collect_list(F.struct("line_no", glued.alias("g"))))
     return lines.groupBy("id", "part_name", "par_no").agg(F.btrim(F.array_join(F.transform(pieces, lambda x: x["g"]), "")).alias("paragraph"))
 
