@@ -11,7 +11,8 @@ processed whole; other columns, whatever their names, are left alone.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,33 @@ def canonical_sql(col: str, separator: str = "\x01") -> str:
     return f"regexp_replace({x}, '(^|{separator}) +| +({separator}|$)', '\\1\\2', 'g')"
 
 
+@contextmanager
+def plain_forms() -> Iterator[Callable[[list[str]], list[str]]]:
+    """A function from texts to their plain forms inside a worker: DuckDB sees the texts that aren't plain ASCII already."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute("SET memory_limit='512MB'")
+    sql = f"SELECT {canonical_sql('s')} AS p FROM batch ORDER BY n"
+
+    def plain(texts: list[str]) -> list[str]:
+        odd = [i for i, t in enumerate(texts) if not t.isascii() or t[:1] == " " or t[-1:] == " "]
+        if not odd:
+            return texts
+        con.register("batch", pa.table({"n": pa.array(range(len(odd)), pa.int64()), "s": pa.array([texts[i] for i in odd], pa.string())}))
+        out = list(texts)
+        for i, p in zip(odd, con.sql(sql).to_arrow_table().column(0).to_pylist()):
+            out[i] = p
+        con.unregister("batch")
+        return out
+
+    try:
+        yield plain
+    finally:
+        con.close()
+
+
 def canonicalize(df: DataFrame, columns: list[str], suffix: str = "_plain") -> DataFrame:
     """Add ``<column><suffix>`` for each string column: its plain form, computed by DuckDB inside Arrow batches.
 

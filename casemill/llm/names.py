@@ -55,6 +55,8 @@ class Name(NamedTuple):
 
 def fold(s: str) -> str:
     """Lower case without accents."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFD", s.casefold())
     return "".join(c for c in s if not unicodedata.combining(c))
 

@@ -82,6 +82,15 @@ def test_links_and_non_links(spark):
     assert all(a < b for a, b in got)
 
 
+def test_hot_shard_gives_the_same_links(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"{g} {m}. {a}{b}{c}ol" for g in ("Meera", "Thomas") for m in "KL" for a in ("ba", "ko", "ti") for b in ("ra", "ne") for c in ("m", "z")]
+    rows = [("m", "coram", s) for s in base] + [("m", "coram", s[:7] + rng.choice("xyz") + s[8:]) for s in base] + [("m", "coram", "Justice Baramol"), ("k", "coram", "Tom Rao"), ("k", "coram", "Thomas Rao")]
+    want = entities(spark, rows)
+    monkeypatch.setattr(linking, "HOT", 7)
+    assert entities(spark, rows) == want and len(want) > 20
+
+
 def test_empty_and_blank(spark):
     assert entities(spark, []) == set()
     assert entities(spark, [("m", "coram", "..."), (None, "coram", "A Bee"), ("m", "coram", "x" * 20_000)]) == set()
