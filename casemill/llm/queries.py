@@ -98,6 +98,9 @@ QUERIES = {
     "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
+_STORED = "SELECT record_id, matter_no, 'case_name' AS field_name, case_name AS stored FROM structured WHERE case_name IS NOT NULL UNION ALL SELECT record_id, matter_no, 'coram', array_to_string(list_transform(coram, lambda x: coalesce(x, chr(2))), chr(1)) FROM structured WHERE coram IS NOT NULL"
+_PLAIN = f"SELECT *, {canonical.canonical_sql('stored')} AS plain FROM ({_STORED}) WHERE matter_no IS NOT NULL"
 SQL: dict[str, str] = {
+    "p5_found": f"WITH p AS ({_PLAIN}) SELECT DISTINCT a.field_name, a.record_id AS record_a, b.record_id AS record_b FROM p a JOIN p b ON a.matter_no = b.matter_no AND a.field_name = b.field_name AND a.plain = b.plain AND a.record_id < b.record_id AND a.stored <> b.stored",
     "p6_found": "SELECT segment_id FROM segments WHERE length(body) > (SELECT amount FROM size_limits WHERE limit_name = 'body_max')",
 }
