@@ -151,3 +151,9 @@ def report_file_name(appeal_number: Column, case_name: Column, suffix: str = "_r
     a = F.concat(F.substring(F.translate(F.nullif(appeal_number, F.lit("")), "/", "-"), 1, 50), F.lit(suffix))
     b = F.concat(F.substring(F.translate(F.nullif(case_name, F.lit("")), " ", "_"), 1, 50), F.lit(suffix))
     return F.coalesce(a, b, F.lit(suffix.lstrip("_")))
+
+
+def clean_prediction(label: Column, value: Column) -> Column:
+    """A predicted value without leading signs, three characters or more, with a capital first for names; null otherwise."""
+    v = F.regexp_replace(F.coalesce(value, F.lit("")), r"^[\W_]+|\s+$", "")
+    return F.when(F.length(v) >= 3, F.when(label.isin("JUDGE", "PRECEDENT", "PETITIONER", "RESPONDENT"), capitalized(v)).otherwise(v))

@@ -98,3 +98,27 @@ def token_spans(tokens: DataFrame, texts: DataFrame, keys: list[str], text: str)
     spans = t.groupBy(*keys, "island", "label").agg(F.min_by("start", "seq").alias("start"), F.max_by("end", "seq").alias("end"))
     value = F.regexp_replace(F.regexp_replace(F.expr(f"substring({text}, start + 1, end - start)"), r"\s+", " "), r"^[ ,.;:]+|[ ,.;:]+$", "")
     return spans.join(texts, keys).withColumn("value", value).where("length(value) > 1").select(*keys, "island", "label", "value")
+
+
+def named_on_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id_col, match_no, pos, value): names of two words or more on lines for a petitioner or respondent."""
+    blocks = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?i)(?:For\s+(?:Petitioner|Respondent)[^:]*:\s*)([^\n]+)"), F.lit(1))
+    names = F.regexp_extract_all("block", F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+|[A-Z]\.\s?[A-Z][a-z]+"), F.lit(0))
+    rows = df.select(id_col, F.posexplode(blocks).alias("m", "block")).select(id_col, "m", F.posexplode(names).alias("p", "value"))
+    rows = rows.where((F.size(F.split("value", r"\s+")) >= 2) & (F.lower("value") != "information technology"))
+    return rows.select(id_col, (F.col("m") + 1).cast("bigint").alias("match_no"), (F.col("p") + 1).cast("bigint").alias("pos"), "value")
+
+
+def distinct_values(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct trimmed values of each key with their place in code-point order: (keys, pos, value)."""
+    v = F.regexp_replace(F.regexp_replace("value", r"\s+", " "), r"^[ ,.;:]+|[ ,.;:]+$", "")
+    d = df.select(*keys, v.alias("value")).where("value <> ''").distinct()
+    return d.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("value")).cast("bigint").alias("pos"), "value")
+
+
+def first_values(df: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, pos, label, value): matches in emission order, later ones that differ in case only left out."""
+    order = F.struct("rule_no", "match_no")
+    first = df.groupBy(id_col, "label", F.lower("value").alias("lower")).agg(F.min_by(F.struct("rule_no", "match_no", "value"), order).alias("f"))
+    w = Window.partitionBy(id_col).orderBy("f.rule_no", "f.match_no", "label")
+    return first.select(id_col, F.row_number().over(w).cast("bigint").alias("pos"), "label", "f.value")

@@ -50,7 +50,7 @@ def _finder(name: str, found: Sequence[Rule], oracle: bool = True) -> None:
 for _name, _found in {
     "case_numbers_header": rules.CASE_NUMBERS_A, "case_numbers_text": rules.CASE_NUMBERS_B, "dates_header": rules.DATES_A, "dates_text": rules.DATES_B, "courts_header": rules.COURTS_A, "courts_text": rules.COURTS_B,
     "provisions_header": rules.PROVISIONS_A, "provisions_text": rules.PROVISIONS_B, "statutes_by_form": rules.STATUTES_A, "statutes_by_name": rules.STATUTES_B, "citations": rules.CITATIONS,
-    "legal_references": [*rules.ARTICLES, *rules.SECTIONS_OF_ACTS],
+    "legal_references": [*rules.ARTICLES, *rules.SECTIONS_OF_ACTS], "priority_matches": rules.PRIORITY_RULES,
 }.items():
     _finder(_name, _found)
 # a word boundary beside an accented letter differs between the engines, so these have no SQL
@@ -311,8 +311,18 @@ def _list(name: str, field: str, make) -> None:  # noqa: ANN001
     query(None, f"segment_{name}")(run)
 
 
-_one("case_name", "header", extracting.case_name)
-_one("parties", "header", extracting.parties)
+
+
+@query()
+def segment_case_name(spark: SparkSession, sf: str) -> DataFrame:
+    return extracting.with_case_name(table(spark, sf, "segments").select("segment_id", "header"), "header").select("segment_id", "case_name")
+
+
+@query()
+def segment_parties(spark: SparkSession, sf: str) -> DataFrame:
+    return extracting.with_parties(table(spark, sf, "segments").select("segment_id", "header"), "header").select("segment_id", "appellants", "respondents")
+
+
 _one("advocates", "header", extracting.advocates)
 _one("order_summary", "order_text", extracting.order_summary)
 _one("conclusion", "order_text", extracting.conclusion)
@@ -491,3 +501,74 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT substring(grade, 1, 1) AS grade_letter, count(*) AS n FROM {_GRADED} GROUP BY 1")
 def grade_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return quality.grade_distribution(_reports(spark, sf))
+
+
+# --- whole producers and the rest of the small operators ------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {q(name)})" for i, name in enumerate(rules.CLASSIFIER_LABELS)) + ") t(id, label)")
+def classifier_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rules.CLASSIFIER_LABELS)), "id bigint, label string")
+
+
+@query()
+def lawyers_on_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of two words or more on the rest of a 'For Petitioner' or 'For Respondent' line."""
+    return finding.named_on_lines(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query()
+def party_lines_header(spark: SparkSession, sf: str) -> DataFrame:
+    return finding.party_lines(table(spark, sf, "documents"), "doc_id", "text", rules.PARTY_LINES_A)
+
+
+@query()
+def entities_of_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the first producer over header and body: distinct values of a label in code-point order."""
+    s = table(spark, sf, "segments")
+    parts = [finding.find(s, "segment_id", c, rules.PRODUCER_A).select("segment_id", F.lit(c).alias("provenance"), "label", "value") for c in ("header", "body")]
+    return finding.distinct_values(parts[0].unionByName(parts[1]), ["segment_id", "provenance", "label"])
+
+
+@query()
+def entities_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules of the second producer over whole texts: ordered, distinct in lower case."""
+    return finding.first_values(finding.find(table(spark, sf, "documents"), "doc_id", "text", rules.PRODUCER_B), "doc_id")
+
+
+_ENTITY_ORG = text.sql("entity_text", text.ORGANIZATION)
+
+
+@query(
+    f"SELECT doc_id, seq, label, CASE WHEN lower(label) = 'organization' THEN {_ENTITY_ORG} WHEN lower(label) = 'statute' THEN CASE WHEN contains(entity_text, 'CrPC') THEN 'Code of Criminal Procedure, 1973' WHEN contains(entity_text, 'NI Act') OR contains(entity_text, 'Negotiable Instrument') THEN 'Negotiable Instruments Act, 1881' ELSE entity_text END ELSE entity_text END AS value FROM entities"
+)
+def entities_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "entities").select("doc_id", "seq", "label", text.normalize_entity(F.col("label"), F.col("entity_text")).alias("value"))
+
+
+_PRED = "regexp_replace(coalesce(entity_text, ''), '^[\\W_]+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, seq, label, CASE WHEN label IN ('JUDGE', 'PRECEDENT', 'PETITIONER', 'RESPONDENT') THEN upper(substring(v, 1, 1)) || substring(v, 2) ELSE v END AS value FROM (SELECT doc_id, seq, label, {_PRED} AS v FROM entities) WHERE length(v) >= 3")
+def predictions_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "entities").select("doc_id", "seq", "label", text.clean_prediction(F.col("label"), F.col("entity_text")).alias("value"))
+    return e.where("value IS NOT NULL")
+
+
+@query(
+    "SELECT record_id, trim(s[1]) AS petitioner, trim(s[2]) AS respondent FROM (SELECT record_id, string_split_regex(case_name, '(?i)\\s+v\\.?s?\\.?\\s+') AS s FROM structured) WHERE len(s) = 2"
+)
+def parties_of_case_names(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "structured").select("record_id", merging.parties_from_case_name(F.col("case_name")).alias("p"))
+    return s.where("p IS NOT NULL").select("record_id", "p.petitioner", "p.respondent")
+
+
+@query()
+def dates_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "structured").where("date_of_judgment IS NOT NULL").select("record_id", selecting.parse_date(F.col("date_of_judgment")).alias("day"))
+    return s.where("day IS NOT NULL")
+
+
+@query("SELECT 'ok' AS status, true AS rules_loaded")
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(bool(rules.PRODUCER_A and rules.PRODUCER_B)).alias("rules_loaded"))

@@ -83,11 +83,15 @@ def test_selectors(spark):
 
 
 def test_parties_and_names(spark):
-    r = one(spark, extracting.parties(F.col("h")), h="RAM LAL\nVERSUS\nSTATE")
+    def parties(h):
+        return extracting.with_parties(spark.createDataFrame([(h,)], "h string"), "h").collect()[0]
+
+    r = parties("RAM LAL\nVERSUS\nSTATE")
     assert (r.appellants, r.respondents) == (["RAM LAL"], ["STATE"])
-    r = one(spark, extracting.parties(F.col("h")), h="Petitioner(s): Ram Lal, Shyam\nRespondent: The State")
+    r = parties("Petitioner(s): Ram Lal, Shyam\nRespondent: The State")
     assert (r.appellants, r.respondents) == (["Ram Lal", "Shyam"], ["The State"])
-    assert one(spark, extracting.case_name(F.col("h")), h="Ram Lal v. State of X (2020)") == "Ram Lal v. State of X"
+    named = extracting.with_case_name(spark.createDataFrame([("Ram Lal v. State of X (2020)",), ("In Re: Abcdefg",), (None,)], "h string"), "h").collect()
+    assert [r.case_name for r in named] == ["Ram Lal v. State of X", "In Re Abcdefg", None]
     a = one(spark, extracting.advocates(F.col("h")), h="Advs. for the Appellant: Mr. Ram Lal, Sr. Adv., Shyam Das\nAdvs. for the Respondent: Ms. Gita Sen.")
     assert (a.for_appellants, a.for_respondent) == (["Mr. Ram Lal", "Shyam Das"], ["Ms. Gita Sen"])
 
