@@ -35,11 +35,15 @@ def offsets(counts: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], block: int = BLOCK) -> dict[str, tuple[int, int]]:
-    """source -> (blocks it has, blocks drawn): the largest mixture within the repeat caps."""
+    """source -> (blocks it has, blocks drawn): the largest mixture within the repeat caps.
+
+    A source without a whole block draws none; the others keep the proportions of their shares.
+    """
     have = {s: totals.get(s, 0) // block for s, _, _ in targets}
-    able = [have[s] * cap / share for s, share, cap in targets if share > 0]
+    whole = sum(share for s, share, _ in targets if have[s])
+    able = [have[s] * cap * whole / share for s, share, cap in targets if share > 0 and have[s]]
     most = math.floor(min(able)) if able else 0
-    return {s: (have[s], min(have[s] * cap, round(most * share))) for s, share, cap in targets}
+    return {s: (have[s], min(have[s] * cap, round(most * share / whole)) if have[s] else 0) for s, share, cap in targets}
 
 
 def _permutation(n: int, seed: int, epoch: int, source: str) -> tuple[int, int]:

@@ -70,6 +70,11 @@ def test_mixture(spark):
     assert {r.id for r in got} <= set(range(900))
 
 
+def test_plan_without_a_source():
+    assert mixing.plan({"a": 640, "b": 640}, [("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.25, 2)], 64) == {"a": (10, 10), "b": (10, 5), "c": (0, 0)}
+    assert mixing.plan({}, [("a", 1.0, 1)], 64) == {"a": (0, 0)}
+
+
 def test_offsets_against_running_sum(spark):
     counts = spark.createDataFrame([(i, "s", i % 7) for i in range(200)], "id int, source string, n_tokens bigint")
     rows = sorted(mixing.offsets(counts).where("n_tokens > 0").collect(), key=lambda r: r.token_at)
