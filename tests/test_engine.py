@@ -146,3 +146,8 @@ def test_escape_and_file_names(spark):
 def test_long_text_has_no_stack_overflow(spark):
     body = "Facts\n" + "word " * 32_000 + "\nHeld\nx"
     assert len(one(spark, extracting.background_facts(F.col("b")), b=body)) == 1
+
+
+@pytest.mark.parametrize(("raw", "want"), [("Hon'ble Dr. Justice A. Rao, J.", ". A. Rao,"), ("Rich\u0430dr V. Z\u00f4silidal", "Rich\u0430dr V. Z\u00f4silidal"), ("Justice \u00c9mile Dr\u00e9", "\u00c9mile Dr\u00e9"), (None, ""), ("", "")])
+def test_judge_names_beside_letters_beyond_ascii(spark, raw, want):
+    assert one(spark, text.clean_judge_name(F.col("t")), t=raw) == want
