@@ -5,6 +5,10 @@ without its legal form) go into a trie; every core walks it with the edit automa
 checked for compatible order, given names, initials and legal forms. Spellings with the same core are linked across shards where
 only one reading is possible. Linked spellings are merged by connected components in the cluster.
 
+Spellings whose cores differ are compared across shards too: all distinct cores are joined by what remains of them after up to
+two deletions (``_keys``), which finds every pair within two edits. Without a shared matter only slips of the hand count
+(``fits_anywhere``), and an entity is merged into another only if no second one is as near (``_wide_links``).
+
 A shard with more than ``HOT`` names is cut by a hash of the name: each part's names form a trie of bounded size, and the names of
 the whole shard walk it one after the other, so no task ever holds a hot shard and no link is lost.
 
@@ -271,6 +275,102 @@ def _core_links(group: list[tuple[str, Name, int]]) -> set[tuple[str, str]]:
     return links
 
 
+# Neighbours on the keyboard, and letters written for one another.
+_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_SLIP = {(r[i], r[i + 1]) for r in _ROWS for i in range(len(r) - 1)} | {(a[i], b[j]) for a, b in zip(_ROWS, _ROWS[1:]) for i in range(len(a)) for j in (i - 1, i) if 0 <= j < len(b)} | {("e", "i"), ("o", "u"), ("c", "k"), ("v", "w")}
+_SLIP |= {(b, a) for a, b in _SLIP}
+
+
+@lru_cache(100_000)
+def slips(a: str, b: str) -> int:
+    """The least cost of the slips that make one word of the other: 1 for a swap, 3 for a letter more or less, 4 for a neighbour
+    on the keyboard or a letter that sounds alike, 9 for any other letter."""
+    prev2: list[int] = []
+    prev = list(range(0, 3 * len(b) + 1, 3))
+    for i, ca in enumerate(a, 1):
+        row = [3 * i]
+        for j, cb in enumerate(b, 1):
+            d = min(prev[j] + 3, row[j - 1] + 3, prev[j - 1] + (0 if ca == cb else 4 if (ca, cb) in _SLIP else 9))
+            if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
+                d = min(d, prev2[j - 2] + 1)
+            row.append(d)
+        prev2, prev = prev, row
+    return prev[-1]
+
+
+def fits_anywhere(a: Name, b: Name) -> bool:
+    """May two readings with different cores be one entity although no matter and field holds both?
+
+    One letter swapped, left out or added, or two slips of which one is a swap, is a slip of the hand. A replaced letter alone,
+    or two letters more, make another name as readily as a slip, and need a matter in common.
+    """
+    if a.kind == "org":
+        pairs = [(a.core, b.core)]
+    elif a.initial and b.initial and min(len(a.surname), len(b.surname)) > 4:
+        pairs = [(a.surname, b.surname)] + ([(a.given, b.given)] if a.given and b.given else [])
+    else:
+        return False
+    d = sum(edits(x, y) for x, y in pairs)
+    return d <= 2 and sum(slips(x, y) for x, y in pairs if x != y) <= (5 if d == 2 else 3) and fits(a, b, edits(a.core, b.core))
+
+
+def _keys(kind: str, core: str) -> set[str]:
+    """Keys of which two cores share one if they're within two edits (persons: of the surname after the same initial).
+
+    What is left of the first letters after up to two deletions; an edit at their end is a deletion in both. Persons of one
+    surname share a key too, as the slip may be in the initial.
+    """
+    lead, rest = (core[0], core[1:]) if kind == "person" else ("", core)
+    head = rest[:7]
+    one = {head[:i] + head[i + 1 :] for i in range(len(head))}
+    out = {f"{lead}-{x}" for x in {head, *one, *(x[:i] + x[i + 1 :] for x in one for i in range(len(x)))}}
+    return out | {f"={rest}"} if kind == "person" else out
+
+
+def _wide_links(readings: DataFrame, linked: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(sa, sb): links of entities that no shard holds together. ``linked``: spelling, entity of those that are linked so far.
+
+    Of the entities that fit an entity, those met as often or oftener are its candidates; it's linked to the one met most often
+    if all its other candidates fit that one as well.
+    """
+    read = readings.where("many < 3 AND (kind = 'org' OR initial <> '')").join(linked, "spelling", "left").withColumn("entity", F.coalesce("entity", "spelling"))
+    fields = ["surname", "given", "initial", "middle", "legal"]
+    # an entity stands with the cores that most of its spellings have: a typo already linked to its right form isn't compared again
+    count = read.groupBy("entity", "kind", "core").agg(F.countDistinct("spelling").alias("n"))
+    most = count.groupBy("entity").agg(F.max("n").alias("n"))
+    main = count.join(most, ["entity", "n"]).select("entity", "kind", "core")
+    read = written(read.join(main, ["entity", "kind", "core"]).select("kind", "core", *fields, "entity").distinct(), "readings")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, cores = b.column(0), b.column(1)
+            yield pa.RecordBatch.from_arrays([kinds, cores, pa.array([sorted(_keys(k, c)) for k, c in zip(kinds.to_pylist(), cores.to_pylist())], pa.list_(pa.string()))], names=["kind", "core", "keys"])
+
+    keys = read.select("kind", "core").distinct().mapInArrow(keyed, "kind string, core string, keys array<string>")
+    keys = keys.select("kind", "core", F.explode("keys").alias("key")).select("kind", "core", F.xxhash64("kind", "key").alias("key"))
+    near = keys.alias("a").join(keys.alias("b"), "key").where("a.kind = b.kind AND a.core < b.core AND abs(length(a.core) - length(b.core)) <= 2 AND levenshtein(a.core, b.core, 4) >= 0")
+    near = near.select(F.col("a.kind").alias("kind"), F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b")).distinct()
+    side = lambda x: read.select("kind", F.col("core").alias(f"core_{x}"), F.struct(*fields).alias(x), F.col("entity").alias(f"s{x}"))
+    pairs = near.join(side("a"), ["kind", "core_a"]).join(side("b"), ["kind", "core_b"]).where("sa <> sb AND (a.given = b.given OR a.given = '' OR b.given = '' OR levenshtein(a.given, b.given, 4) >= 0)")
+    pairs = pairs.select("sa", "sb", "kind", *[F.col(f"{x}.{f}").alias(f"{f}_{x}") for x in "ab" for f in fields], "core_a", "core_b")
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {(min(r[:2]), max(r[:2])) for r in zip(*(c.to_pylist() for c in b.columns)) if fits_anywhere(Name(r[2], r[13], *r[3:8]), Name(r[2], r[14], *r[8:13]))}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 2)], names=["sa", "sb"])
+
+    fit = written(pairs.mapInArrow(fitting, "sa string, sb string").distinct(), "fitting")
+    both = fit.union(fit.select("sb", "sa"))
+    ends = both.select(F.col("sa").alias("entity")).distinct()
+    members = ends.join(linked, "entity", "left").select("entity", F.coalesce("spelling", "entity").alias("spelling"))
+    met = occurrences.join(members, "spelling").groupBy("entity").agg(F.countDistinct("grp").alias("n")).select(F.col("entity").alias("sb"), F.struct("n", F.col("entity").alias("e")).alias("met"))
+    met = written(met, "met")
+    ranked = both.join(met, "sb").join(met.select(F.col("sb").alias("sa"), F.col("met").alias("own")), "sa").where("met > own")
+    best = ranked.groupBy("sa").agg(F.max("met")["e"].alias("best"), F.collect_set("sb").alias("all")).select("sa", "best", F.explode("all").alias("other"))
+    bad = best.where("other <> best").join(both.select(F.col("sa").alias("other"), F.col("sb").alias("best")), ["other", "best"], "left_anti").select("sa")
+    return best.where("other = best").join(bad, "sa", "left_anti").select("sa", F.col("best").alias("sb"))
+
+
 READING = "kind string, core string, surname string, given string, initial string, middle string, legal string, many int"
 
 
@@ -462,7 +562,11 @@ def link_spellings(occurrences: DataFrame) -> DataFrame:
     readings = seen.where("sb IS NULL").select("kind", "core", F.col("sa").alias("spelling"), "surname", "given", "initial", "middle", "legal", "many").distinct()
     cores = grouped(readings, ["kind", "core"], _cores, links)
     edges = written(shards.unionByName(cores).distinct(), "links")
-    return components(edges, "sa", "sb").select(F.col("node").alias("spelling"), F.col("component").alias("entity"))
+    linked = components(edges, "sa", "sb").select(F.col("node").alias("spelling"), F.col("component").alias("entity"))
+    wide = written(_wide_links(readings, linked, occurrences), "wide-links")
+    merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
+    alone = merged.select(F.col("entity").alias("spelling"), "entity").join(linked, "spelling", "left_anti")
+    return linked.unionByName(alone).join(merged, "entity", "left").select("spelling", F.coalesce("component", "entity").alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
