@@ -241,7 +241,13 @@ def _core_links(group: list[tuple[str, Name, int]]) -> set[tuple[str, str]]:
     for _, n in sure:
         if n.middle:
             classes[of(n.given)][1].add(n.middle[0])
-    if not classes:  # initials only
+    if not classes:  # no spelling has one reading only: equal names are one person, and so are initials
+        equal: dict[tuple[str, str], str] = {}
+        for s, n, k in sorted(group):
+            if n.given and k <= 2:
+                r = equal.setdefault((n.given, n.middle[:1]), s)
+                if r != s:
+                    links.add((min(r, s), max(r, s)))
         middles = {n.middle[0] for _, n, _ in group if n.middle}
         reps = {}
         for s, n, _ in sorted(group):

@@ -93,6 +93,12 @@ def test_typo_links_across_matters(spark):
     assert not flat & {"Edward Nogiyebur", "Edward Noyidebur", "Tara Lomevaek", "Tara Pimosek", "Tara Pimasek"}
 
 
+def test_equal_names_without_a_sure_reading_link_across_matters(spark):
+    rows = [("m1", "appellants", "RICHARD DINAFIHART"), ("m2", "appellants", "Richard Dinafihart"), ("m3", "coram", "Dr. Richard Dinafihart"), ("m4", "coram", "Rita Dinafihart")]
+    names = sorted({s for _, _, s in rows[:3]})
+    assert entities(spark, rows) == {(a, b) for a in names for b in names if a < b}
+
+
 def test_keys_meet_for_all_within_two_edits():
     rng = random.Random(5)
     for _ in range(3_000):
