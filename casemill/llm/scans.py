@@ -111,7 +111,7 @@ def _counting(parts: tuple[str, ...]):  # noqa: ANN202
                     pages = page_lines(split)
                     seen.update(("line", masked(split[j])) for j in _beside(split, pages))
                     if first := next((x for x in split if x.strip()), None):
-                        seen.add(("first", masked(first[:200])))
+                        seen.add(("first", masked(first)))
                     tokens = text.lower().split()
                     words.update(tokens)
                     pairs.update(zip(tokens, tokens[1:]))

@@ -60,6 +60,15 @@ def test_reference(spark, monkeypatch, shard):
     assert got == want
 
 
+def test_long_headings_are_counted_whole(spark):
+    counted = scans._counting(("body",))
+    heading = "In the matter of " + "many words " * 30
+    import pyarrow as pa
+
+    out = [r for b in counted(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([heading + "\ntext"])], names=["id", "body"])])) for r in b.to_pylist()]
+    assert [r["a"] for r in out if r["kind"] == "first"] == [scans.masked(heading)]
+
+
 texts = st.text(alphabet="Ab.\n, ¶1", max_size=400)
 
 
