@@ -110,19 +110,23 @@ class Matcher:
 
     def match(self, label: str, value: str) -> tuple[int, int]:
         """(entry, edits); (0, 99) if there is none, (-1, edits) if several fit equally well."""
+        return self.ranked(label, value)[:2]
+
+    def ranked(self, label: str, value: str) -> tuple[int, int, int]:
+        """As match, with what was met: 0 a name, 1 initials, 2 an alias, 9 nothing. A lower one goes before fewer edits."""
         key, year = (court_key(value), "") if label == "COURT" else statute_key(value)
         if not key:
-            return 0, 99
-        got = self._search(key, self.names.get((label, year), {}), self.trees.get((label, year)))
+            return 0, 99, 9
+        rank, got = 0, self._search(key, self.names.get((label, year), {}), self.trees.get((label, year)))
         if not got and (hit := self.exact.get((label, year, key))):
-            got = {e: 0 for e in hit}
+            rank, got = 1, {e: 0 for e in hit}
         if not got and label == "COURT":
-            got = self._search(key, self.aliases[label], self.alias_trees[label])
+            rank, got = 2, self._search(key, self.aliases[label], self.alias_trees[label])
         if not got:
-            return 0, 99
+            return 0, 99, 9
         least = min(got.values())
         best = sorted(e for e, d in got.items() if d == least)
-        return (best[0], least) if len(best) == 1 else (-1, least)
+        return (best[0] if len(best) == 1 else -1), least, rank
 
     def _search(self, key: str, names: dict[str, set[int]], tree: BKTree | None) -> dict[int, int]:
         if tree is None:
@@ -157,23 +161,23 @@ def match_reference(df: DataFrame, id_col: str, fields: dict[str, tuple[str, Col
     for k in range(shards):  # each shard has at most about SHARD rows
         part = ref if shards == 1 else ref.where(F.pmod(F.xxhash64("entry_id"), F.lit(shards)) == k)
         matcher = df.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        one = rows.mapInArrow(_matching(matcher), f"id {kind}, field_name string, pos int, entry_id int, edits int")
+        one = rows.mapInArrow(_matching(matcher), f"id {kind}, field_name string, pos int, entry_id int, edits int, rank int")
         found = one if found is None else found.unionByName(one)
     if shards == 1:
-        return found.withColumn("entry_id", F.greatest("entry_id", F.lit(0)))
-    best = found.groupBy("id", "field_name", "pos").agg(F.min("edits").alias("edits"), F.collect_set(F.when(F.col("entry_id") != 0, F.struct("edits", "entry_id"))).alias("all"))
-    near = F.filter("all", lambda x: x["edits"] == F.col("edits"))
-    return best.select("id", "field_name", "pos", F.when(F.size(near) == 1, F.greatest(F.element_at(near, 1)["entry_id"], F.lit(0))).otherwise(0).cast("int").alias("entry_id"), "edits")
+        return found.withColumn("entry_id", F.greatest("entry_id", F.lit(0))).drop("rank")
+    best = found.groupBy("id", "field_name", "pos").agg(F.min(F.struct("rank", "edits")).alias("least"), F.collect_set(F.when(F.col("entry_id") != 0, F.struct("rank", "edits", "entry_id"))).alias("all"))
+    near = F.filter("all", lambda x: (x["rank"] == F.col("least.rank")) & (x["edits"] == F.col("least.edits")))
+    return best.select("id", "field_name", "pos", F.when(F.size(near) == 1, F.greatest(F.element_at(near, 1)["entry_id"], F.lit(0))).otherwise(0).cast("int").alias("entry_id"), "least.edits")
 
 
 def _matching(rows):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = lru_cache(200_000)(Matcher(rows.value).match)
+        match = lru_cache(200_000)(Matcher(rows.value).ranked)
         for b in batches:
             got = [match(label, v) for label, v in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([e for e, _ in got], pa.int32()), pa.array([d for _, d in got], pa.int32())],
-                ["id", "field_name", "pos", "entry_id", "edits"],
+                [b.column(0), b.column(1), b.column(2), *(pa.array([g[i] for g in got], pa.int32()) for i in range(3))],
+                ["id", "field_name", "pos", "entry_id", "edits", "rank"],
             )
 
     return run

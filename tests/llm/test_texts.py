@@ -60,6 +60,17 @@ def test_reference(spark, monkeypatch, shard):
     assert got == want
 
 
+def test_a_name_goes_before_an_alias_of_another_shard(spark, monkeypatch):
+    shard = F.pmod(F.xxhash64(F.col("id").cast("int")), F.lit(2))
+    far = {r.shard: r.id for r in spark.range(1, 20).select("id", shard.alias("shard")).collect()}  # an entry number of each shard
+    ref = spark.createDataFrame([(far[0], "COURT", "Exby High Court"), (far[1], "COURT", "High Court of Exbyy")], "entry_id int, label string, canonical_name string")
+    df = spark.createDataFrame([(7, "Exbyy High Court")], "id int, court string")
+    for size in (5_000, 1):  # a name with one edit, an alias with none
+        monkeypatch.setattr(reference, "SHARD", size)
+        got = reference.match_reference(df, "id", {"court": ("COURT", F.array("court"))}, ref).collect()
+        assert [(r.entry_id, r.edits) for r in got] == [(far[0], 1)], size
+
+
 def test_long_headings_are_counted_whole(spark):
     counted = scans._counting(("body",))
     heading = "In the matter of " + "many words " * 30
