@@ -53,9 +53,12 @@ _PLAIN = re.compile(rf"(?:(?!\s+{_AND}|\s+(?:\(\d{{1,3}}\)|\d{{1,3}}[.)])\s|\s*\
 _ROLE = re.compile(rf"{_WS}*[,，]{_WS}*(?:{_alt(ROLE_WORDS)}){_END}", re.I)
 _TAIL = re.compile(rf"{_WS}*[,，]?{_WS}*\bJJ\.?{_WS}*$")
 _BENCH = re.compile(r"\s*\[([^\[\]]*)(\]?)\s*$")
-#: What a text must hold to be more than one bare value; the same test runs in the JVM before rows go to Python.
+#: What a text must hold to be more than one bare value; the same test runs in the JVM before rows go to Python, where its
+#: classes are written out: Java's \s and \d are ASCII only.
 PACKED_HINT = r"(?i)[,，;；|｜/／&＆\n\t\"\[]|\sand\s|\s(\(\d{1,3}\)|\d{1,3}[.)])\s"
 _HINT = re.compile(PACKED_HINT)
+_JVM_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_JVM_HINT = PACKED_HINT.replace(r"\s", _JVM_SPACE).replace(r"\d", r"\p{Nd}")
 
 
 def parse_packed(text: str | None) -> list[tuple[str, str]]:
@@ -138,13 +141,13 @@ def split_packed(df: DataFrame, id_col: str, fields: dict[str, Column], only_pac
         F.explode(F.array(*[F.struct(F.lit(name).alias("field_name"), c.cast("array<string>").alias("elements")) for name, c in fields.items()])).alias("s"),
     ).select("id", "s.field_name", "s.elements")
     long = long.where(F.size("elements") > 0)
-    hint = F.exists("elements", lambda x: x.rlike(PACKED_HINT))
+    hint = F.exists("elements", lambda x: x.rlike(_JVM_HINT))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, field_name string, pos int, element_no int, entry string, flag string, is_packed boolean"
     parsed = long.where(F.coalesce(hint, F.lit(False))).mapInArrow(_batches, schema)
     if only_packed:
         return parsed.where("is_packed")
-    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"^(\(\d{1,3}\)|\d{1,3}[.)])\s+", "")
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, f"^{_JVM_SPACE}+|{_JVM_SPACE}+$", ""), rf"^(\(\p{{Nd}}{{1,3}}\)|\p{{Nd}}{{1,3}}[.)]){_JVM_SPACE}+", "")
     bare = (
         long.where(~F.coalesce(hint, F.lit(False)))
         .select("id", "field_name", F.transform("elements", lambda x, i: F.struct((i + 1).cast("int").alias("element_no"), strip(x).alias("entry"))).alias("e"))

@@ -51,3 +51,12 @@ def test_split_packed_edges(spark):
     assert sorted((r.id, r.pos, r.entry, r.is_packed) for r in got.collect()) == [(1, 1, "A Bee", True), (1, 1, "A Bee", True), (1, 2, "C Dee", True), (1, 2, "C Dee", True), (4, 1, "Solo Name", False)]
     assert {r.id for r in split_packed(df, "record_id", {"coram": F.col("coram")}, only_packed=True).collect()} == {1}
     assert split_packed(df.limit(0), "record_id", {"coram": F.col("coram")}).count() == 0
+
+
+def test_lists_between_typographic_spaces_reach_the_grammar(spark):
+    rows = [(1, ["Olga Kay\u00a0and\u2009Phil Deen"]), (2, ["Olga Kay\u00a02)\u00a0Phil Deen"]), (3, ["1.\u00a0Olga Kay"])]
+    df = spark.createDataFrame(rows, "id int, coram array<string>")
+    got = {(r.id, r.pos, r.entry) for r in split_packed(df, "id", {"coram": F.col("coram")}).collect()}
+    assert got == {(i, p, e) for i, (x,) in rows for p, e in enumerate(entries(x), 1)}
+    packed = split_packed(df, "id", {"coram": F.col("coram")}, only_packed=True)
+    assert {r.id for r in packed.collect()} == {1, 2}
