@@ -134,7 +134,8 @@ def estimate_zones(values: DataFrame, place: str, value: str, order: str, bounds
     """(place, zone_name, n_values, violations, is_declared): the offset history of each place.
 
     ``bounds`` are UTC columns that the value can't lie after. ``candidates`` is a short list of IANA zones. Counts combine
-    before the shuffle, so one place may hold most of the rows. Ties go to the declared zone, then to the name.
+    before the shuffle, so one place may hold most of the rows. A zone further east never has more values after their bounds, so of
+    the zones with the fewest the one that leaves the least time to the bounds is meant. Ties go to the name.
     """
     lean = values.where(F.col(place).isNotNull()).select(place, value, order, *bounds, *([declared] if declared else []))
     parsed = parse_columns(lean, value, order).where("_kind = 'clock' AND size(_offsets) = 0")
@@ -143,10 +144,11 @@ def estimate_zones(values: DataFrame, place: str, value: str, order: str, bounds
     sums = parsed.groupBy(place).agg(
         F.count("*").alias("n_values"),
         *[F.sum(x).alias(f"v{i}") for i, x in enumerate(late)],
+        *[F.coalesce(F.sum(F.unix_seconds(bound) - F.unix_seconds(F.to_utc_timestamp("_local", z))), F.lit(0)).alias(f"g{i}") for i, z in enumerate(candidates)],
         (F.max(declared) if declared else F.lit(None).cast("string")).alias("declared"),
     )
-    options = F.array(*[F.struct((F.col("declared").eqNullSafe(F.lit(z))).alias("is_declared"), (-F.col(f"v{i}")).alias("minus"), F.lit(z).alias("zone_name")) for i, z in enumerate(candidates)])
-    best = F.array_sort(options, lambda a, b: F.when(a["is_declared"] != b["is_declared"], F.when(a["is_declared"], -1).otherwise(1)).when(a["minus"] != b["minus"], F.when(a["minus"] > b["minus"], -1).otherwise(1)).when(a["zone_name"] < b["zone_name"], -1).otherwise(1))
+    options = F.array(*[F.struct((F.col("declared").eqNullSafe(F.lit(z))).alias("is_declared"), (-F.col(f"v{i}")).alias("minus"), F.col(f"g{i}").alias("gap"), F.lit(z).alias("zone_name")) for i, z in enumerate(candidates)])
+    best = F.array_sort(options, lambda a, b: F.when(a["is_declared"] != b["is_declared"], F.when(a["is_declared"], -1).otherwise(1)).when(a["minus"] != b["minus"], F.when(a["minus"] > b["minus"], -1).otherwise(1)).when(a["gap"] != b["gap"], F.when(a["gap"] < b["gap"], -1).otherwise(1)).when(a["zone_name"] < b["zone_name"], -1).otherwise(1))
     return sums.select(place, "n_values", best[0].alias("b")).select(place, "b.zone_name", "n_values", (-F.col("b.minus")).alias("violations"), "b.is_declared")
 
 

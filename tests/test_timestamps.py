@@ -30,3 +30,10 @@ def test_zone_is_the_one_with_fewest_violations(spark, declared):
     df = spark.createDataFrame(rows, "place string, value string, ord string, keyed string, declared string").selectExpr("place", "value", "ord", "CAST(keyed AS TIMESTAMP) AS keyed", "declared")
     got = estimate_zones(df, "place", "value", "ord", ["keyed"], ["Europe/London", "Asia/Kolkata"], "declared").collect()
     assert [(r.place, r.zone_name, r.violations, r.is_declared) for r in got] == [("R1", "Asia/Kolkata", 0, False) if declared is None else ("R1", "Europe/London", 19, True)]
+
+
+def test_zone_east_of_the_true_one_is_not_taken(spark):
+    rows = [("R1", f"{d:02d}.06.2012 18:00", "dmy", f"2012-06-{d:02d} 12:45:00") for d in range(1, 20)]
+    df = spark.createDataFrame(rows, "place string, value string, ord string, keyed string").selectExpr("place", "value", "ord", "CAST(keyed AS TIMESTAMP) AS keyed")
+    got = estimate_zones(df, "place", "value", "ord", ["keyed"], ["Asia/Hong_Kong", "Asia/Dhaka", "Asia/Kolkata", "Europe/London"]).collect()
+    assert [(r.zone_name, r.violations) for r in got] == [("Asia/Kolkata", 0)]
