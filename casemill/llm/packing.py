@@ -2,8 +2,8 @@
 
 Dynamic programming over the global length histogram chooses bucket boundaries that minimise padding. Items longer than the
 capacity are cut into full containers and a rest; nothing else is split. Shards of items (by hash, so that each has the whole mix
-of lengths) are packed independently: token-budget batches form inside each bucket from the largest to the smallest, and the
-space a batch leaves is filled with items of smaller buckets that fit, the fullest batch first.
+of lengths) are packed independently by best-fit decreasing: from the longest item down, each goes to the tightest open container
+that it fits. The buckets label the rows and don't change the containers.
 
 Only (id, length) pairs move; a shard holds about ``SHARD`` items, so no task grows with the data. Items without tokens are left
 out; repeated rows are items of their own; an empty table gives no containers.
