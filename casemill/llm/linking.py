@@ -1,16 +1,19 @@
 """Link the spellings of one person or organisation.
 
-Names that occur in one matter and field form a shard. Each shard's indexed cores (initial + surname, or an organisation's name
-without its legal form) go into a trie; every core walks it with the edit automaton, and the neighbours within two edits are
-checked for compatible order, given names, initials and legal forms. Spellings with the same core are linked across shards where
-only one reading is possible. Linked spellings are merged by connected components in the cluster.
+Every distinct spelling is read once. Where either word may be the surname, the order is taken whose words stand oftener in these
+roles in spellings that leave no choice. Spellings of one reading form a class. The distinct cores of all classes (initial and
+surname, or an organisation's name without its legal form) are joined with one another by tries: they are sharded by the letters of
+the name (``trie.shards``), every core walks its shards' tries with the edit automaton, and all neighbours within two edits come
+out, wherever they occur. Orders, given names, initials, middle names and legal forms decide which neighbours fit.
 
-Spellings whose cores differ are compared across shards too: all distinct cores are joined by what remains of them after up to
-two deletions (``_keys``), which finds every pair within two edits. Without a shared matter only slips of the hand count
-(``fits_anywhere``), and an entity is merged into another only if no second one is as near (``_wide_links``).
+What links: classes of one core that allow one person only (``core_links``); neighbours that fit and stand together in a matter and
+field; what is ambiguous by itself (initials that fit several persons, a short given name of several names, a bare surname, a firm
+without its legal form), spelling by spelling, with the person it stands together with most often; and neighbours that never stand
+together if they differ by a slip of the hand only (``slip``) and no second entity is as near (``_wide_links``). Components are
+found in the cluster.
 
-A shard with more than ``HOT`` names is cut by a hash of the name: each part's names form a trie of bounded size, and the names of
-the whole shard walk it one after the other, so no task ever holds a hot shard and no link is lost.
+All joins are between distinct spellings, classes and cores. A shard with more than ``HOT`` names is cut further by what the other
+ends of its names have in common, which loses no pair.
 
 Defined results: null and blank names are ignored; a name without letters links to nothing; repeated rows change nothing.
 """
@@ -26,21 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm import names
+from casemill.llm import names, trie
 from casemill.llm.canonical import plain_forms
 from casemill.llm.graph import components
-from casemill.llm.names import Name
-from casemill.llm.trie import Trie, edits
+from casemill.llm.names import Name, sound
+from casemill.llm.trie import edits
 from casemill.operators.packed import parse_packed
 from casemill.session import written
 
-
-
-@lru_cache(200_000)
-def read(spelling: str) -> tuple[list[Name], int]:
-    """The readings of a spelling, and how many choices they leave (see names.choices)."""
-    got = names.parse(spelling)
-    return got, names.choices(spelling, got)
+HOT = 50_000  # names that a shard may hold before it is cut further
+_BATCH = 30_000  # rows whose tries are walked at once
 
 
 def _given_edits(a: Name, b: Name, most: int) -> int | None:
@@ -50,7 +48,7 @@ def _given_edits(a: Name, b: Name, most: int) -> int | None:
             return 0
         if min(len(a.given), len(b.given)) < 4:
             return None
-        d = edits(a.given, b.given)
+        d = min(edits(a.given, b.given), edits(sound(a.given), sound(b.given)))
         return d if d <= most else None
     return 0 if a.initial == b.initial else None
 
@@ -64,7 +62,7 @@ def _middle_fits(a: Name, b: Name) -> bool:
 
 
 def fits(a: Name, b: Name, d: int) -> bool:
-    """May two readings found in one shard, with ``d`` edits between their cores, be one entity?"""
+    """May two readings, with ``d`` edits between their cores, be one entity?"""
     if a.kind != b.kind:
         return False
     if a.kind == "org":
@@ -87,200 +85,6 @@ def _trade_fits(a: Name, b: Name) -> bool:
     return len(wa) != len(wb) or all(x == y or (edits(x, y) <= 2 and min(len(x), len(y)) > 3) for x, y in zip(wa, wb))
 
 
-HOT = 5_000  # names of a shard that one trie may hold
-
-
-class _Shard:
-    """The trie of some names of a shard."""
-
-    def __init__(self, spellings: list[str]) -> None:
-        self.by_core: dict[str, list[tuple[str, Name, int]]] = defaultdict(list)
-        for s in spellings:
-            got, many = read(s)
-            for n in got:
-                self.by_core[n.core].append((s, n, many))
-        self.trie = Trie(self.by_core)
-
-    def links(self, spelling: str) -> set[tuple[str, str, str, str]]:
-        """Links of any name with the names of the trie: (smaller spelling, larger spelling, given name read in each if its
-        nickname has several, else '')."""
-        got, ka = read(spelling)
-        out = set()
-        for a in got:
-            for core, d in self.trie.near(a.core) if len(self.by_core) > 1 or a.core not in self.by_core else ((a.core, 0),):
-                for t, b, kb in self.by_core[core]:
-                    if spelling < t and fits(a, b, d):
-                        out.add((spelling, t, a.given if ka == 3 else "", b.given if kb == 3 else ""))
-                    elif t < spelling and fits(a, b, d):
-                        out.add((t, spelling, b.given if kb == 3 else "", a.given if ka == 3 else ""))
-        return out
-
-
-def _bare_links(spellings: list[str]) -> set[tuple[str, str, str, str]]:
-    """A bare surname links to the person of that surname, if the names know one such person only."""
-    by_surname: dict[str, list[tuple[str, Name]]] = defaultdict(list)
-    bare: dict[str, set[str]] = defaultdict(set)
-    for s in spellings:
-        for n in read(s)[0]:
-            if n.kind == "person":
-                (by_surname[n.surname].append((s, n)) if n.initial else bare[n.surname].add(s))
-    out = set()
-    for surname, ss in bare.items():
-        others = by_surname.get(surname, [])
-        if others and all(fits(others[0][1], n, 0) for _, n in others):
-            out |= {(min(s, t), max(s, t), "", "") for s in ss for t, _ in others if s != t}
-    return out
-
-
-@lru_cache(500_000)
-def _letters(core: str) -> int:
-    """The set of letters of a core as bits; letters beyond ASCII share bits, which only makes sets more alike."""
-    bits = 0
-    for ch in core:
-        bits |= 1 << (ord(ch) & 31)
-    return bits
-
-
-def _spanning(links: set[tuple[str, str, str, str]]) -> Iterator[tuple[str, str, str, str]]:
-    """Links that connect what all links connect; those that rest on the reading of a nickname are all kept."""
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for link in sorted(links):
-        if link[2] or link[3]:
-            yield link
-        elif (a := find(link[0])) != (b := find(link[1])):
-            root[b] = a
-            yield link
-
-
-class _Memory:
-    """What walks of earlier tries of a task found: cores that stood together with a core, and those of them that are near."""
-
-    def __init__(self) -> None:
-        self.together: dict[str, set[str]] = {}
-        self.near: dict[str, dict[str, int]] = {}
-        self.size = 0
-
-    def walk(self, by_core: dict[str, list]) -> Iterator[tuple[str, list[tuple[str, int]]]]:
-        """(core, near cores with their edits) of each core of a shard; a trie is walked only for company that is new."""
-        trie = None
-        cores = by_core.keys()
-        # two edits change at most four letters of the set of letters a core has: a core that is further from all others in that
-        # respect has no neighbour, and needs no walk
-        letters = [_letters(c) for c in cores] if len(by_core) <= 64 else None
-        for i, core in enumerate(cores):
-            known = self.together.get(core)
-            if letters and not any((letters[i] ^ x).bit_count() <= 4 for j, x in enumerate(letters) if j != i):
-                yield core, [(core, 0)]
-            elif known is None or not cores <= known:
-                trie = trie or Trie(by_core)
-                found = list(trie.near(core))
-                self.together[core] = (known or set()) | cores
-                self.near.setdefault(core, {}).update(found)
-                self.size += len(cores)
-                if self.size > 3_000_000:
-                    self.__init__()
-                yield core, found
-            else:
-                yield core, [(c, d) for c, d in self.near[core].items() if c in cores]
-
-
-def _shard_links(spellings: list[str], memory: _Memory | None = None) -> set[tuple[str, str, str, str]]:
-    """All links of one shard of bounded size; each pair is looked at once, from the name with the smaller core."""
-    by_core: dict[str, list[tuple[str, Name, int]]] = defaultdict(list)
-    has_bare = False
-    for s in spellings:
-        got, many = read(s)
-        for n in got:
-            by_core[n.core].append((s, n, many))
-            has_bare = has_bare or (n.kind == "person" and not n.initial)
-    links: set[tuple[str, str, str, str]] = set()
-    pairs = (memory or _Memory()).walk(by_core) if len(by_core) > 1 else ((c, [(c, 0)]) for c in by_core)
-    for core, found in pairs:
-        mine = by_core[core]
-        for other, d in found:
-            if other < core or (other == core and len(mine) == 1):
-                continue
-            for s, a, ka in mine:
-                for t, b, kb in by_core[other]:
-                    if (s < t or (s > t and other != core)) and fits(a, b, d):
-                        ra, rb = a.given if ka == 3 else "", b.given if kb == 3 else ""
-                        links.add((s, t, ra, rb) if s < t else (t, s, rb, ra))
-    return links | _bare_links(spellings) if has_bare else links
-
-
-def _core_links(group: list[tuple[str, Name, int]]) -> set[tuple[str, str]]:
-    """Links among spellings that share a core, wherever they occur, where the group allows one reading only.
-
-    ``group``: (spelling, reading, number of readings that its nickname or order allows).
-    """
-    links: set[tuple[str, str]] = set()
-    if group[0][1].kind == "org":
-        legal = {n.legal for _, n, _ in group if n.legal}
-        reps: dict[str, str] = {}
-        for s, n, _ in sorted(group):
-            if n.legal or len(legal) < 2:
-                r = reps.setdefault(n.legal if len(legal) > 1 else "", s)
-                if r != s:
-                    links.add((min(r, s), max(r, s)))
-        return links
-    sure = [(s, n) for s, n, k in group if n.given and k == 1]
-    classes: list[tuple[str, set[str]]] = []  # given name, middle initials seen with it
-    count: dict[str, int] = defaultdict(int)
-    for _, n in sure:
-        count[n.given] += 1
-    for g in sorted(count, key=lambda g: (-count[g], g)):
-        if not any(len(g) > 3 and len(c) > 3 and edits(g, c) <= 2 for c, _ in classes):
-            classes.append((g, set()))
-    of = lambda g: next((i for i, (c, _) in enumerate(classes) if g == c or (len(g) > 3 and len(c) > 3 and edits(g, c) <= 2)), None)
-    for _, n in sure:
-        if n.middle:
-            classes[of(n.given)][1].add(n.middle[0])
-    if not classes:  # no spelling has one reading only: equal names are one person, and so are initials
-        equal: dict[tuple[str, str], str] = {}
-        for s, n, k in sorted(group):
-            if n.given and k <= 2:
-                r = equal.setdefault((n.given, n.middle[:1]), s)
-                if r != s:
-                    links.add((min(r, s), max(r, s)))
-        middles = {n.middle[0] for _, n, _ in group if n.middle}
-        reps = {}
-        for s, n, _ in sorted(group):
-            if n.given or (not n.middle and len(middles) > 1) or not n.initial:
-                continue
-            r = reps.setdefault(n.middle[:1] if len(middles) > 1 else "", s)
-            if r != s:
-                links.add((min(r, s), max(r, s)))
-        return links
-    persons: dict[tuple[int, str], str] = {}
-    for s, n, k in sorted(group):
-        if not n.initial:
-            continue
-        if n.given:
-            i = of(n.given)
-            if i is None or k > 2 or (k > 1 and n.given not in count):
-                continue
-        else:
-            able = [i for i, (_, m) in enumerate(classes) if not n.middle or n.middle[0] in m or not m]
-            exact = [i for i in able if n.middle and n.middle[0] in classes[i][1]]
-            able = exact or able
-            if len(able) != 1:
-                continue
-            i = able[0]
-        m = n.middle[:1] if len(classes[i][1]) > 1 else ""
-        if len(classes[i][1]) > 1 and not m:
-            continue
-        r = persons.setdefault((i, m), s)
-        if r != s:
-            links.add((min(r, s), max(r, s)))
-    return links
-
-
 # Neighbours on the keyboard, and letters written for one another.
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _SLIP = {(r[i], r[i + 1]) for r in _ROWS for i in range(len(r) - 1)} | {(a[i], b[j]) for a, b in zip(_ROWS, _ROWS[1:]) for i in range(len(a)) for j in (i - 1, i) if 0 <= j < len(b)} | {("e", "i"), ("o", "u"), ("c", "k"), ("v", "w")}
@@ -304,8 +108,8 @@ def slips(a: str, b: str) -> int:
     return prev[-1]
 
 
-def fits_anywhere(a: Name, b: Name) -> bool:
-    """May two readings with different cores be one entity although no matter and field holds both?
+def slip(a: Name, b: Name) -> bool:
+    """Given that two readings with different cores fit: may they be one entity although no matter and field holds both?
 
     One letter swapped, left out or added, or two slips of which one is a swap, is a slip of the hand. A replaced letter alone,
     or two letters more, make another name as readily as a slip, and need a matter in common.
@@ -317,74 +121,109 @@ def fits_anywhere(a: Name, b: Name) -> bool:
     else:
         return False
     d = sum(edits(x, y) for x, y in pairs)
-    return d <= 2 and sum(slips(x, y) for x, y in pairs if x != y) <= (5 if d == 2 else 3) and fits(a, b, edits(a.core, b.core))
+    return d <= 2 and sum(slips(x, y) for x, y in pairs if x != y) <= (5 if d == 2 else 3)
 
 
-def _keys(kind: str, core: str) -> set[str]:
-    """Keys of which two cores share one if they're within two edits (persons: of the surname after the same initial).
+# ---- spellings
 
-    What is left of the first letters after up to two deletions; an edit at their end is a deletion in both. Persons of one
-    surname share a key too, as the slip may be in the initial.
+
+def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], singles: dict[str, Column]) -> DataFrame:
+    """(grp, field_name, spelling): packed lists split, every spelling in its plain form, in one Arrow pass.
+
+    Rows without a group keep a null one: their spellings take part, but stand together with nothing. Rows may repeat.
     """
-    lead, rest = (core[0], core[1:]) if kind == "person" else ("", core)
-    head = rest[:7]
-    one = {head[:i] + head[i + 1 :] for i in range(len(head))}
-    out = {f"{lead}-{x}" for x in {head, *one, *(x[:i] + x[i + 1 :] for x in one for i in range(len(x)))}}
-    return out | {f"={rest}"} if kind == "person" else out
+    names_ = [*lists, *singles]
+    lean = df.select(F.col(group_col).cast("string").alias("grp"), *[c.cast("array<string>").alias(f"c{i}") for i, c in enumerate([*lists.values(), *singles.values()])])
+    n_lists = len(lists)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def _wide_links(readings: DataFrame, linked: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """(sa, sb): links of entities that no shard holds together. ``linked``: spelling, entity of those that are linked so far.
+        with plain_forms() as plain:
+            for b in batches:
+                groups = b.column(0).dictionary_encode()
+                code = groups.indices.fill_null(-1).to_numpy() + 1
+                named = pa.concat_arrays([pa.array([None], pa.string()), groups.dictionary])
+                for i, name in enumerate(names_):
+                    c = b.column(i + 1)
+                    flat = c.flatten()
+                    if not len(flat):
+                        continue
+                    parent = c.value_parent_indices().to_numpy()
+                    enc = flat.dictionary_encode()
+                    at = enc.indices.fill_null(-1).to_numpy()
+                    texts = enc.dictionary.to_pylist()
+                    if not texts:
+                        continue
+                    entries = [split(x) if i < n_lists else (x,) for x in texts]
+                    forms = plain([e for es in entries for e in es])
+                    ends = np.cumsum([len(es) for es in entries])
+                    pairs = np.unique(code[parent[at >= 0]].astype(np.int64) * len(texts) + at[at >= 0])
+                    g, k = pairs // len(texts), pairs % len(texts)
+                    sizes = np.diff(ends, prepend=0)[k]
+                    place = np.repeat(ends[k] - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    spelling = pa.array(forms, pa.string()).take(pa.array(place))
+                    out = pa.RecordBatch.from_arrays([named.take(pa.array(np.repeat(g, sizes))), pa.array([name] * len(place), pa.string()), spelling], ["grp", "field_name", "spelling"])
+                    yield out.filter(pc.not_equal(spelling, ""))
 
-    Of the entities that fit an entity, those met as often or oftener are its candidates; it's linked to the one met most often
-    if all its other candidates fit that one as well.
-    """
-    read = readings.where("many < 3 AND (kind = 'org' OR initial <> '')").join(linked, "spelling", "left").withColumn("entity", F.coalesce("entity", "spelling"))
-    fields = ["surname", "given", "initial", "middle", "legal"]
-    # an entity stands with the cores that most of its spellings have: a typo already linked to its right form isn't compared again
-    count = read.groupBy("entity", "kind", "core").agg(F.countDistinct("spelling").alias("n"))
-    most = count.groupBy("entity").agg(F.max("n").alias("n"))
-    main = count.join(most, ["entity", "n"]).select("entity", "kind", "core")
-    read = written(read.join(main, ["entity", "kind", "core"]).select("kind", "core", *fields, "entity").distinct(), "readings")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds, cores = b.column(0), b.column(1)
-            yield pa.RecordBatch.from_arrays([kinds, cores, pa.array([sorted(_keys(k, c)) for k, c in zip(kinds.to_pylist(), cores.to_pylist())], pa.list_(pa.string()))], names=["kind", "core", "keys"])
-
-    keys = read.select("kind", "core").distinct().mapInArrow(keyed, "kind string, core string, keys array<string>")
-    keys = keys.select("kind", "core", F.explode("keys").alias("key")).select("kind", "core", F.xxhash64("kind", "key").alias("key"))
-    near = keys.alias("a").join(keys.alias("b"), "key").where("a.kind = b.kind AND a.core < b.core AND abs(length(a.core) - length(b.core)) <= 2 AND levenshtein(a.core, b.core, 4) >= 0")
-    near = near.select(F.col("a.kind").alias("kind"), F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b")).distinct()
-    side = lambda x: read.select("kind", F.col("core").alias(f"core_{x}"), F.struct(*fields).alias(x), F.col("entity").alias(f"s{x}"))
-    pairs = near.join(side("a"), ["kind", "core_a"]).join(side("b"), ["kind", "core_b"]).where("sa <> sb AND (a.given = b.given OR a.given = '' OR b.given = '' OR levenshtein(a.given, b.given, 4) >= 0)")
-    pairs = pairs.select("sa", "sb", "kind", *[F.col(f"{x}.{f}").alias(f"{f}_{x}") for x in "ab" for f in fields], "core_a", "core_b")
-
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = {(min(r[:2]), max(r[:2])) for r in zip(*(c.to_pylist() for c in b.columns)) if fits_anywhere(Name(r[2], r[13], *r[3:8]), Name(r[2], r[14], *r[8:13]))}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 2)], names=["sa", "sb"])
-
-    fit = written(pairs.mapInArrow(fitting, "sa string, sb string").distinct(), "fitting")
-    both = fit.union(fit.select("sb", "sa"))
-    ends = both.select(F.col("sa").alias("entity")).distinct()
-    members = ends.join(linked, "entity", "left").select("entity", F.coalesce("spelling", "entity").alias("spelling"))
-    met = occurrences.join(members, "spelling").groupBy("entity").agg(F.countDistinct("grp").alias("n")).select(F.col("entity").alias("sb"), F.struct("n", F.col("entity").alias("e")).alias("met"))
-    met = written(met, "met")
-    ranked = both.join(met, "sb").join(met.select(F.col("sb").alias("sa"), F.col("met").alias("own")), "sa").where("met > own")
-    best = ranked.groupBy("sa").agg(F.max("met")["e"].alias("best"), F.collect_set("sb").alias("all")).select("sa", "best", F.explode("all").alias("other"))
-    bad = best.where("other <> best").join(both.select(F.col("sa").alias("other"), F.col("sb").alias("best")), ["other", "best"], "left_anti").select("sa")
-    return best.where("other = best").join(bad, "sa", "left_anti").select("sa", F.col("best").alias("sb"))
+    return lean.mapInArrow(run, "grp string, field_name string, spelling string")
 
 
-READING = "kind string, core string, surname string, given string, initial string, middle string, legal string, many int"
+@lru_cache(200_000)
+def split(element: str) -> tuple[str, ...]:
+    """The entries of one element of a list."""
+    return tuple(e for e, _ in parse_packed(element))
 
 
-def grouped(df: DataFrame, keys: list[str], make: Callable[[], Callable[[list[tuple]], Iterator[tuple]]], schema: str) -> DataFrame:
+_FIELDS = ("kind", "core", "surname", "given", "initial", "middle", "legal")
+_RAW = ("raw_core", "raw_surname", "raw_given")
+
+
+def read_spellings(spellings: DataFrame) -> DataFrame:
+    """(s, spelling, n, cls, options, fields of Name as they sound, raw fields where these differ): the reading of each spelling, ``options`` rows if a short given name leaves
+    several. ``spellings``: (spelling, n). ``cls`` numbers the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, order, of, many, cols, raw = [], [], [], [], [], []
+            for i, s in enumerate(b.column(0).to_pylist()):
+                ways = names.orders(names.parse(s))
+                for k, way in enumerate(ways):
+                    for n in way:
+                        at.append(i)
+                        order.append(k)
+                        of.append(len(ways))
+                        many.append(len(way))
+                        cols.append(same := names.sounded(n))
+                        raw.append((n.core, n.surname, n.given) if n != same else (None,) * 3)
+            got = (list(zip(*cols)) or [()] * 7) + (list(zip(*raw)) or [()] * 3)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, *(pa.array(x, pa.int32()) for x in (order, of, many)), *(pa.array(x, pa.string()) for x in got)], names=["spelling", "n", "way", "ways", "options", *_FIELDS, *_RAW])
+
+    all_ = written(spellings.mapInArrow(run, "spelling string, n bigint, way int, ways int, options int, " + ", ".join(f"{f} string" for f in (*_FIELDS, *_RAW))), "readings")
+    sure = all_.where("ways = 1 AND options = 1 AND kind = 'person' AND given <> ''")
+    last = F.coalesce("raw_surname", "surname")
+    words = sure.select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(last.alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w"))
+    words = words.groupBy("w.word").agg(F.sum("w.g").alias("g"), F.sum("w.l").alias("l"))
+    open_ = all_.where("ways > 1").select("spelling", "way", F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(True).alias("first")), F.struct(last.alias("word"), F.lit(False).alias("first")))).alias("w")).select("spelling", "way", "w.word", "w.first")
+    odds = F.log(F.col("g") + F.lit(0.1)) - F.log(F.col("l") + F.lit(0.1))
+    role = open_.join(words, "word").groupBy("spelling", "way").agg(F.sum(F.when(F.col("first"), odds).otherwise(-odds)).alias("score"))
+    # an order that no word speaks for or against scores 0; of equal orders the natural one is meant
+    ranked = all_.where("ways > 1").select("spelling", "way").distinct().join(role, ["spelling", "way"], "left")
+    best = ranked.groupBy("spelling").agg(F.max_by("way", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("way"))).alias("best"))
+    chosen = all_.where("ways > 1").join(best, "spelling").where("way = best").drop("best")
+    one = all_.where("ways = 1").unionByName(chosen)
+    key = F.xxhash64("kind", "surname", F.when(F.col("options") > 1, F.lit("?")).otherwise(F.col("given")), F.when(F.col("options") == 1, F.col("initial")), "middle", "legal", F.when(F.col("kind") == "org", F.col("core")))
+    # spellings with several options are classes by themselves: each is read by its own company
+    return one.select(F.xxhash64("spelling").alias("s"), "spelling", "n", F.when(F.col("options") > 1, F.xxhash64("spelling", F.lit("?"))).otherwise(key).alias("cls"), "options", *_FIELDS, *_RAW)
+
+
+# ---- classes of one core
+
+
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Call a function with the rows (tuples) of each group of adjacent equal keys; df's first columns are ``keys``.
 
-    ``make`` gives the function, anew for each task. Groups are adjacent because the partition is sorted; tens of thousands of
-    small groups cost no more than their rows.
+    Groups are adjacent because the partition is sorted; tens of thousands of small groups cost no more than their rows.
     """
     n = len(keys)
     out = df.repartition(*keys).sortWithinPartitions(*keys)
@@ -393,7 +232,6 @@ def grouped(df: DataFrame, keys: list[str], make: Callable[[], Callable[[list[tu
     to_arrow = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in _parse_datatype_string(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
         buf: list[tuple] = []
         key, rows = None, []
         emit = lambda b: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*b), to_arrow.types)], schema=to_arrow)
@@ -409,170 +247,245 @@ def grouped(df: DataFrame, keys: list[str], make: Callable[[], Callable[[list[tu
                 rows.append(row)
         if rows:
             buf.extend(fn(rows))
-        buf.extend(fn.end() if hasattr(fn, "end") else ())
-        for at in range(0, len(buf), 50_000):
-            yield emit(buf[at : at + 50_000])
+        if buf:
+            yield emit(buf)
 
     return out.mapInArrow(run, schema)
 
 
-class _Shards:
-    """Readings of each spelling the first time that the task meets it, and links with the number of shards that have them."""
-
-    def __init__(self) -> None:
-        self.met: set[str] = set()
-        self.memory = _Memory()
-        self.links: dict[tuple[str, str, str, str], int] = defaultdict(int)
-
-    def __call__(self, rows: list[tuple]) -> Iterator[tuple]:
-        spellings = [r[2] for r in rows]
-        for s in spellings:
-            if s not in self.met:
-                self.met.add(s)
-                got, many = read(s)
-                for n in got:
-                    yield (s, None, None, None, *n, many, 0)
-        if len(rows) > 1:
-            for link in _spanning(_shard_links(spellings, self.memory)):
-                self.links[link] += 1
-            if len(self.links) > 300_000:
-                yield from self.end()
+def _given_groups(count: dict[str, int]) -> dict[str, int]:
+    """Given names of one core, the frequent ones first: a name within two edits of an earlier group's first name joins it."""
+    heads: dict[str, int] = {}
+    of: dict[str, int] = {}
+    tree = trie.Trie()
+    for g in sorted(count, key=lambda g: (-count[g], g)):
+        near = min((heads[h] for x in {g, sound(g)} for h, _ in tree.near(x) if len(h) > 3), default=None) if len(g) > 3 else None
+        if near is None:
+            near = len(of)
+            for x in (g, sound(g)):
+                if heads.setdefault(x, near) == near:
+                    tree.add(x)
+        of[g] = near
+    return of
 
-    def end(self) -> Iterator[tuple]:
-        for link, n in self.links.items():
-            yield (*link, *(None,) * 8, n)
-        self.links.clear()
 
+def core_links(rows: list[tuple]) -> Iterator[tuple[int, int, int | None]]:
+    """(class, representative, member) of the classes of one core, wherever they occur.
 
-def _cores() -> Callable[[list[tuple]], Iterator[tuple]]:
-    def one(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) > 1:
-            yield from sorted(_core_links([(r[2], Name(r[0], r[1], *r[3:8]), r[8]) for r in rows]))
+    member null: the class is that person or organisation. Otherwise the class is ambiguous, and ``member`` is a class of a
+    person that it may be. ``rows``: (kind, core, surname, given, initial, middle, legal, cls, options, n).
+    """
+    if len(rows) == 1:
+        return
+    if rows[0][0] == "org":
+        by_legal = {r[6]: r[7] for r in rows}
+        if (plain := by_legal.pop("", None)) is not None:
+            for c in by_legal.values():
+                yield (plain, c, c) if len(by_legal) > 1 else (plain, c, None)
+        return
+    sure = [r for r in rows if r[8] == 1 and r[4]]
+    count: dict[str, int] = defaultdict(int)
+    for r in sure:
+        if r[3]:
+            count[r[3]] += r[9]
+    of = _given_groups(count)
+    middles: dict[int, set[str]] = defaultdict(set)
+    for r in sure:
+        if r[5]:
+            middles[of.get(r[3], -1)].add(r[5][0])
+    groups = sorted(set(of.values()))
+    first: dict[tuple[int, str], int] = {}
+    members: dict[tuple[int, str], list[int]] = defaultdict(list)
+    loose = []  # (class, persons that it may be)
+
+    def settle(r: tuple, i: int) -> None:
+        m = middles[i]
+        if len(m) > 1 and not r[5]:
+            loose.append((r[7], [(i, x) for x in sorted(m)]))
+        else:
+            at = (i, r[5][:1] if len(m) > 1 else "")
+            first.setdefault(at, r[7])
+            members[at].append(r[7])
+
+    sure.sort(key=lambda r: (not r[3], r[7]))
+    for r in sure:
+        if r[3]:
+            settle(r, of[r[3]])
+        elif not groups:
+            middles[-1] = middles.get(-1, set())
+            settle(r, -1)
+        else:
+            able = [i for i in groups if not r[5] or r[5][0] in middles[i] or not middles[i]]
+            able = [i for i in able if r[5] and r[5][0] in middles[i]] or able
+            if len(able) == 1:
+                settle(r, able[0])
+            elif able:
+                loose.append((r[7], [(i, m) for i in able for m in ([r[5][0]] if r[5] and r[5][0] in middles[i] and len(middles[i]) > 1 else sorted(middles[i]) if len(middles[i]) > 1 else [""])]))
+    for r in rows:
+        if r[8] > 1 and r[3] in of:
+            i = of[r[3]]
+            loose.append((r[7], [(i, x) for x in (sorted(middles[i]) if len(middles[i]) > 1 else [""]) if not r[5] or not x or x == r[5][0]]))
+    for at, cs in members.items():
+        for c in cs[1:]:
+            yield c, first[at], None
+    for c, may in loose:
+        for at in may:
+            for member in members.get(at, ()):
+                yield c, first[at], member
+
+
+# ---- neighbours
+
+
+def near_cores(cores: DataFrame) -> DataFrame:
+    """(a, b, d): numbers of all distinct cores of one kind with 1 or 2 edits between them, a < b. ``cores``: (kind, core, c)."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k + x, s, h1, h2) for i, (k, core) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for x, s, h1, h2 in trie.shards(core)]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.string()) for c in cols[1:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["c", "shard", "name", "h1", "h2"])
 
-    return one
+    rows = cores.mapInArrow(placed, "c bigint, shard string, name string, h1 int, h2 int").select(F.xxhash64("shard").alias("shard"), "name", "c", "h1", "h2")
+    rows = written(rows, "shards")
+    hot = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("shard")
+    if not hot.isEmpty():
+        rows = rows.join(hot, "shard", "left_anti").unionByName(_cut(rows.join(hot, "shard")))
 
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def _hot_parts() -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Rows (part, grp, field_name, is_probe, spelling): a part's own names first, then those of its whole shard, one by one."""
+        def found(t: pa.Table) -> pa.RecordBatch:
+            col = lambda i: t.column(i).to_numpy()
+            shard = np.unique(col(0), return_inverse=True)[1]
+            i, j, d = trie.walk(shard, t.column(1).to_pylist(), col(3), col(4))
+            own = col(2)
+            pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), d]), axis=1) if len(i) else np.zeros((3, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], names=["a", "b", "d"])
 
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        key, own, shard = None, [], None
-        for part, grp, field, is_probe, s in rows:
-            if (part, grp, field) != key:
-                key, own, shard = (part, grp, field), [], None
-            if not is_probe:
-                own.append(s)
-                continue
-            shard = shard or _Shard(own)
-            yield from shard.links(s)
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= _BATCH:  # all but the last shard, which may go on
+                t = pa.Table.from_batches(held).combine_chunks()
+                at = int(np.searchsorted(t.column(0).to_numpy(), t.column(0)[-1].as_py()))
+                if at:
+                    yield found(t.slice(0, at))
+                held = t.slice(at).to_batches()
+                n = len(t) - at
+        if n:
+            yield found(pa.Table.from_batches(held))
 
-    return run
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(walked, "a bigint, b bigint, d int").where("a <> b").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def _hot_links(hot: DataFrame) -> DataFrame:
-    """(sa, sb, ra, rb) of shards that are too large for one trie. ``hot``: grp, field_name, spelling, n (names of the shard)."""
-    parts = F.ceil(F.col("n") / HOT).cast("int")
-    own = hot.select(F.pmod(F.xxhash64("spelling"), parts).cast("int").alias("part"), "grp", "field_name", F.lit(0).alias("is_probe"), "spelling")
-    probes = hot.select(F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "grp", "field_name", F.lit(1).alias("is_probe"), "spelling")
-    keys = ["part", "grp", "field_name"]
-    rows = own.unionByName(probes).repartition(*keys).sortWithinPartitions(*keys, "is_probe")
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows of hot shards in smaller ones: names within two edits share what remains of their last letters after two deletions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn, buf = _hot_parts(), []
-        emit = lambda b: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*b)], names=["sa", "sb", "ra", "rb"])
-        for link in fn(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))):
-            buf.append(link)
-            if len(buf) > 20_000:
-                yield emit(buf)
-                buf = []
-        if buf:
-            yield emit(buf)
+        for b in batches:
+            got = [(i, x) for i, s in enumerate(b.column(1).to_pylist()) for x in tails(s)]
+            at, keys = zip(*got) if got else ((), ())
+            t = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(keys, pa.string())], names=[*b.schema.names, "tail"])
 
-    near = rows.mapInArrow(run, "sa string, sb string, ra string, rb string").distinct()
+    cut = rows.select("shard", "name", "c", "h1", "h2").mapInArrow(run, "shard bigint, name string, c bigint, h1 int, h2 int, tail string")
+    return cut.withColumn("shard", F.xxhash64("shard", "tail")).drop("tail")
 
-    def surnames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = {(g, f, n.surname, s) for g, f, s in zip(*(b.column(i).to_pylist() for i in range(3))) for n in read(s)[0] if n.kind == "person"}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 4)], names=["grp", "field_name", "surname", "spelling"])
 
-    by_surname = hot.select("grp", "field_name", "spelling").mapInArrow(surnames, "grp string, field_name string, surname string, spelling string")
-    bare = grouped(by_surname, ["grp", "field_name", "surname"], lambda: lambda rows: iter(_bare_links([r[3] for r in rows])), "sa string, sb string, ra string, rb string")
-    return near.unionByName(bare)
+def tails(s: str) -> set[str]:
+    """What is left of the last letters after up to two deletions; an edit further ahead is a deletion in both."""
+    head = s[::-1][:7]
+    one = {head[:i] + head[i + 1 :] for i in range(len(head))}
+    return {head, *one, *(x[:i] + x[i + 1 :] for x in one for i in range(len(x)))}
 
 
-def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], singles: dict[str, Column]) -> DataFrame:
-    """Distinct (grp, field_name, spelling): packed lists split, every spelling in its plain form, in one Arrow pass."""
-    names_ = [*lists, *singles]
-    lean = df.where(F.col(group_col).isNotNull()).select(F.col(group_col).cast("string").alias("grp"), *[c.cast("array<string>").alias(f"c{i}") for i, c in enumerate([*lists.values(), *singles.values()])])
-    n_lists = len(lists)
+def near_classes(near: DataFrame, forms: DataFrame) -> DataFrame:
+    """(a, b, is_slip): classes whose cores are near and that fit."""
+    side = lambda x: forms.select(F.col("c").alias(x), *[F.col(f).alias(f"{f}_{x}") for f in ("cls", *_FIELDS)])
+    pairs = near.join(side("a"), "a").join(side("b"), "b").where("(kind_a = 'org' OR given_a = given_b OR given_a = '' OR given_b = '' OR levenshtein(given_a, given_b, 4) >= 0) AND (middle_a = '' OR middle_b = '' OR length(middle_a) > 1 AND length(middle_b) > 1 OR left(middle_a, 1) = left(middle_b, 1))")
+    pairs = pairs.select("cls_a", "cls_b", "d", *[f"{f}_a" for f in _FIELDS], *[f"{f}_b" for f in _FIELDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = Name(*r[3:10]), Name(*r[10:17])
+                if fits(x, y, r[2]):
+                    out.append((min(r[:2]), max(r[:2]), slip(x, y)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "is_slip"])
 
-        with plain_forms() as plain:
-            for b in batches:
-                groups = b.column(0).dictionary_encode()
-                code = groups.indices.to_numpy()
-                for i, name in enumerate(names_):
-                    c = b.column(i + 1)
-                    flat = c.flatten()
-                    if not len(flat):
-                        continue
-                    parent = c.value_parent_indices().to_numpy()
-                    enc = flat.dictionary_encode()
-                    at = enc.indices.fill_null(-1).to_numpy()
-                    texts = enc.dictionary.to_pylist()
-                    entries = [split(x) if i < n_lists else (x,) for x in texts]
-                    forms = plain([e for es in entries for e in es])
-                    ends = np.cumsum([len(es) for es in entries])
-                    pairs = np.unique(code[parent[at >= 0]].astype(np.int64) * len(texts) + at[at >= 0])
-                    g, k = pairs // len(texts), pairs % len(texts)
-                    sizes = np.diff(ends, prepend=0)[k]
-                    place = np.repeat(ends[k] - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    spelling = pa.array(forms, pa.string()).take(pa.array(place))
-                    out = pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(np.repeat(g, sizes))), pa.array([name] * len(place), pa.string()), spelling], ["grp", "field_name", "spelling"])
-                    yield out.filter(pc.not_equal(spelling, ""))
+    return pairs.where("cls_a <> cls_b").mapInArrow(run, "a bigint, b bigint, is_slip boolean").groupBy("a", "b").agg(F.max("is_slip").alias("is_slip"))
 
-    return lean.mapInArrow(run, "grp string, field_name string, spelling string").distinct()
 
+# ---- evidence and entities
 
-@lru_cache(200_000)
-def split(element: str) -> tuple[str, ...]:
-    """The entries of one element of a list."""
-    return tuple(e for e, _ in parse_packed(element))
+
+def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sa, sb): links of entities that no matter and field holds together. ``entities``: (cls, entity).
+
+    An entity stands with the core that most of its spellings have. Of the entities that fit an entity, those met as often or
+    oftener are its candidates; it's linked to the one met most often if all its other candidates fit that one as well.
+    """
+    known = classes.select("cls", "c", "n_spellings", "n").distinct().join(entities, "cls")
+    weight = known.groupBy("entity", "c").agg(F.sum("n_spellings").alias("k"), F.sum("n").alias("n"))
+    met = weight.groupBy("entity").agg(F.max("k").alias("k"), F.sum("n").alias("met"))
+    main = written(known.join(weight.join(met, ["entity", "k"]).select("entity", "c", "met"), ["entity", "c"]).select("cls", F.struct("met", "entity").alias("e")), "mains")
+    fit = slips_.join(main.select(F.col("cls").alias("a"), F.col("e").alias("ea")), "a").join(main.select(F.col("cls").alias("b"), F.col("e").alias("eb")), "b").where("ea <> eb").select("ea", "eb").distinct()
+    fit = written(fit, "fitting")
+    both = written(fit.union(fit.select("eb", "ea")).distinct(), "fitting")
+    ranked = both.where("eb.met >= ea.met")
+    best = ranked.groupBy("ea").agg(F.max("eb").alias("best"), F.collect_set("eb").alias("all")).select("ea", "best", F.explode("all").alias("other"))
+    bad = written(best.where("other <> best").join(both.select(F.col("ea").alias("other"), F.col("eb").alias("best")), ["other", "best"], "left_anti").select("ea").distinct(), "unclear")
+    clear = best.where("other = best").join(bad, "ea", "left_anti")
+    # nor is an entity merged into one that is met as often and is itself unclear
+    clear = clear.join(bad.select(F.col("ea").alias("best"), F.lit(True).alias("is_bad")), "best", "left").where("is_bad IS NULL OR best.met > ea.met")
+    return clear.select(F.col("ea.entity").alias("sa"), F.col("best.entity").alias("sb"))
 
 
 def link_spellings(occurrences: DataFrame) -> DataFrame:
-    """(spelling, entity): spellings with one entity are linked; spellings that link to nothing are left out."""
-    links = "sa string, sb string"
-    names_ = occurrences.select("grp", "field_name", "spelling")
-    large = names_.groupBy("grp", "field_name").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    hot = None
-    if not large.isEmpty():
-        large = written(large, "hot")
-        hot = written(_hot_links(names_.join(large, ["grp", "field_name"])), "hot-links")
-        # names of hot shards still give their readings, each in a shard of its own
-        names_ = names_.join(large, ["grp", "field_name"], "left").withColumn("field_name", F.when(F.col("n").isNotNull(), F.concat("field_name", F.lit("\x00"), F.col("spelling"))).otherwise(F.col("field_name"))).drop("n")
-    seen = written(grouped(names_, ["grp", "field_name"], _Shards, f"{links}, ra string, rb string, {READING}, n int"), "seen")
-    if hot is not None:
-        seen = seen.unionByName(hot.withColumn("n", F.lit(1)), allowMissingColumns=True)
-    found = seen.where("ra <> '' OR rb <> ''").groupBy("sa", "sb", "ra", "rb").agg(F.sum("n").alias("n"))
-    # a nickname of several names is read as the one its shards bear out most often
-    votes = found.where("ra <> ''").select(F.col("sa").alias("s"), F.col("ra").alias("r"), "n").union(found.where("rb <> ''").select("sb", "rb", "n"))
-    votes = votes.groupBy("s", "r").agg(F.sum("n").alias("n")).groupBy("s").agg(F.max(F.struct("n", "r"))["r"].alias("best"))
-    best_a, best_b = votes.select(F.col("s").alias("sa"), F.col("best").alias("best_a")), votes.select(F.col("s").alias("sb"), F.col("best").alias("best_b"))
-    clear = seen.where("sb IS NOT NULL AND ra = '' AND rb = ''").select("sa", "sb")
-    read = found.join(best_a, "sa", "left").join(best_b, "sb", "left")
-    read = read.where("(ra = '' OR ra = best_a) AND (rb = '' OR rb = best_b)").select("sa", "sb")
-    shards = clear.unionByName(read)
-    readings = seen.where("sb IS NULL").select("kind", "core", F.col("sa").alias("spelling"), "surname", "given", "initial", "middle", "legal", "many").distinct()
-    cores = grouped(readings, ["kind", "core"], _cores, links)
-    edges = written(shards.unionByName(cores).distinct(), "links")
-    linked = components(edges, "sa", "sb").select(F.col("node").alias("spelling"), F.col("component").alias("entity"))
-    wide = written(_wide_links(readings, linked, occurrences), "wide-links")
+    """(spelling, entity): spellings with one entity (a number) are linked; every spelling with a reading has one."""
+    spellings = occurrences.groupBy("spelling").agg(F.count("*").alias("n"))
+    read = written(read_spellings(spellings), "read")
+    classes = read.groupBy("cls", "options", *_FIELDS).agg(F.count("*").cast("int").alias("n_spellings"), F.sum("n").alias("n")).withColumn("c", F.xxhash64("kind", "core"))
+    classes = written(classes, "classes")
+    links = grouped(classes.select(*_FIELDS, "cls", "options", "n_spellings"), ["kind", "core"], core_links, "cls bigint, rep bigint, member bigint")
+    links = written(links, "core-links")
+    # a bare surname may be any person of that surname
+    bare = classes.where("kind = 'person' AND initial = ''").select(F.col("cls").alias("bare"), "surname").join(classes.where("kind = 'person' AND initial <> '' AND options = 1").select("cls", "surname"), "surname")
+    base = links.where("member IS NULL").select("cls", "rep")
+    loose = links.where("member IS NOT NULL")
+    loose = written(loose.unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member"))), "loose")
+    # a typo may have changed a word before or after it is written as it sounds: either form may be near another
+    raw = read.where("raw_core IS NOT NULL").select("cls", "options", "kind", *[F.col(f"raw_{f}").alias(f) for f in ("core", "surname", "given")], "initial", "middle", "legal").distinct()
+    forms = written(classes.select("cls", "options", *_FIELDS).unionByName(raw).where("options = 1").withColumn("c", F.xxhash64("kind", "core")), "forms")
+    near = written(near_classes(near_cores(forms.select("kind", "core", "c").distinct()), forms), "near")
+
+    # node of a spelling: the representative of its class, or the spelling itself where the class is ambiguous
+    nodes = read.select("s", "spelling", "cls").distinct().join(base, "cls", "left").join(loose.select("cls", F.lit(True).alias("is_loose")).distinct(), "cls", "left")
+    nodes = written(nodes.select("s", "spelling", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose")), "nodes")
+    wanted = near.select(F.col("a").alias("cls"), F.col("b").alias("with"), F.lit(None).cast("bigint").alias("rep")).unionByName(loose.select("cls", F.col("member").alias("with"), "rep"))
+    asked = wanted.select("cls").union(wanted.select("with")).distinct()
+    placed = occurrences.where("grp IS NOT NULL").select(F.xxhash64("grp", "field_name").alias("g"), F.xxhash64("spelling").alias("s"))
+    placed = written(placed.join(nodes.join(asked, "cls", "left_semi").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct(), "placed")
+    other = placed.select("g", F.col("cls").alias("with"), F.col("node").alias("other"))
+    met = wanted.join(placed, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
+    met = written(met, "met")
+    voted = met.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
+    # a representative may be ambiguous no more than its class: it stands for itself
+    edges = met.where("is_near").select("node", "other").unionByName(voted).distinct()
+    linked = components(edges, "node", "other")
+    entity = nodes.select("s", "spelling", "cls", "node", "is_loose").join(linked, "node", "left").select("s", "spelling", "cls", "is_loose", F.coalesce("component", "node").alias("entity"))
+    entity = written(entity, "entities")
+    wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
-    alone = merged.select(F.col("entity").alias("spelling"), "entity").join(linked, "spelling", "left_anti")
-    return linked.unionByName(alone).join(merged, "entity", "left").select("spelling", F.coalesce("component", "entity").alias("entity"))
+    return entity.join(merged, "entity", "left").select("spelling", F.coalesce("component", "entity").alias("entity"))
+
+
+def spelling_entities(linked: DataFrame) -> DataFrame:
+    """(spelling, entity): the least spelling of each entity names it."""
+    return linked.join(linked.groupBy("entity").agg(F.min("spelling").alias("name")), "entity").select("spelling", F.col("name").alias("entity"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 from casemill.llm.trie import edits
@@ -64,6 +65,7 @@ def fold(s: str) -> str:
 _SOUNDS = [(re.compile("e{2,}"), "i"), (re.compile("o{2,}"), "u"), (re.compile("ph"), "f"), (re.compile("ck"), "k")]
 
 
+@lru_cache(100_000)
 def sound(word: str) -> str:
     """A word with letters written as they sound: ee as i, oo as u, ph as f, ck as k."""
     for a, b in _SOUNDS:
@@ -88,7 +90,7 @@ def _org(f: str) -> list[Name]:
         core = [w for w in core if w not in PUBLIC] + [p for p in PUBLIC if p in core]
     if not core:
         core = words
-    return [Name("org", " ".join(c), c[0], "", "", "", legal) for c in dict.fromkeys([tuple(core), tuple(map(sound, core))]) if c]
+    return [Name("org", " ".join(core), core[0], "", "", "", legal)] if core else []
 
 
 def is_org(f: str) -> bool:
@@ -109,7 +111,6 @@ def parse(spelling: str) -> list[Name]:
     f = fold(s)
     if is_org(f):
         return _org(f)
-    nick = re.findall(r'["“(]\s*([^\W\d_]+)\s*["”)]', f)
     f = re.sub(r'["“(][^"”)]*["”)]', " ", f)
     inverted = "," in f
     if inverted:
@@ -123,15 +124,14 @@ def parse(spelling: str) -> list[Name]:
     if not words:
         return []
     if len(words) == 1:
-        return [Name("person", w, w, "", "", "", "") for w in dict.fromkeys([words[0], sound(words[0])])]
+        return [Name("person", words[0], words[0], "", "", "", "")]
     letters, full = [w for w in words if len(w) == 1], [w for w in words if len(w) > 1]
     out: list[Name] = []
 
     def add(surname: str, given: str, middle: str) -> None:
         for g in [""] if len(given) == 1 else NICKNAMES.get(given, given).split():
             i = (g or given)[0]
-            for last, first, mid in dict.fromkeys([(surname, g, middle), (sound(surname), sound(g), sound(middle))]):
-                out.append(Name("person", i + last, last, first, i, mid, ""))
+            out.append(Name("person", i + surname, surname, g, i, middle, ""))
 
     if not full:
         return [Name("person", "".join(words), "".join(words), "", "", "", "")]
@@ -155,15 +155,21 @@ def parse(spelling: str) -> list[Name]:
         add(full[-1], full[0], full[1])
         if not inverted:
             add(full[0], full[1], full[2])
-    if nick:
-        pass  # the nickname adds nothing that the full name lacks
     return out
 
 
-def choices(spelling: str, got: list[Name]) -> int:
-    """1: one reading; 2: either word may be the surname; 3: the short given name stands for several names."""
-    if len(got) < 2 or got[0].kind == "org":
-        return 1
-    if len({(n.surname, n.middle) for n in got}) < len(got) and any(" " in NICKNAMES.get(w, "") for w in re.findall(r"[^\W\d_]+", fold(spelling))):
-        return 3
-    return 2 if len({sound(n.surname) for n in got}) > 1 else 1
+def sounded(n: Name) -> Name:
+    """A reading with its surname, or the words of its organisation, written as they sound."""
+    if n.kind == "org":
+        core = " ".join(map(sound, n.core.split(" ")))
+        return n._replace(core=core, surname=core.split(" ")[0])
+    surname = sound(n.surname)
+    return n._replace(core=n.initial + surname if n.initial else surname, surname=surname)
+
+
+def orders(got: list[Name]) -> list[list[Name]]:
+    """The readings by the word taken for the surname; several in one order are the names that a short given name stands for."""
+    out: dict[str, list[Name]] = {}
+    for n in got:
+        out.setdefault(n.surname, []).append(n)
+    return list(out.values())

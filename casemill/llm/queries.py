@@ -39,9 +39,17 @@ def name_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return linking.spellings_of(s, "matter_no", lists, {"appellants": F.col("appellants"), "respondent": F.array("respondent")})
 
 
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.link_spellings(written(name_occurrences(spark, sf), "names"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    occurrences = written(name_occurrences(spark, sf), "names")
-    return linking.spelling_pairs(linking.link_spellings(occurrences))
+    return linking.spelling_pairs(_linked(spark, sf))
+
+
+def p4_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with the entity that it names."""
+    return linking.spelling_entities(_linked(spark, sf))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +103,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 _STORED = "SELECT record_id, matter_no, 'case_name' AS field_name, case_name AS stored FROM structured WHERE case_name IS NOT NULL UNION ALL SELECT record_id, matter_no, 'coram', array_to_string(list_transform(coram, lambda x: coalesce(x, chr(2))), chr(1)) FROM structured WHERE coram IS NOT NULL"

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from casemill.llm import linking
+from casemill.llm import linking, trie
 from casemill.llm.bktree import BKTree, levenshtein
 from casemill.llm.graph import components
 from casemill.llm.names import parse
@@ -99,26 +100,71 @@ def test_equal_names_without_a_sure_reading_link_across_matters(spark):
     assert entities(spark, rows) == {(a, b) for a in names for b in names if a < b}
 
 
-def test_keys_meet_for_all_within_two_edits():
+def typo(rng, word, alphabet):
+    """A word with one or two random edits or swaps."""
+    x = list(word)
+    for _ in range(rng.choice([1, 2, 2])):
+        i = rng.randrange(len(x) + 1)
+        x[i : i + 2] = rng.choice([x[i : i + 2][::-1], x[i + 1 : i + 2], [rng.choice(alphabet), *x[i : i + 2]], [rng.choice(alphabet), *x[i + 1 : i + 2]]])
+    return "".join(x)
+
+
+def near_by_walk(strings):
+    rows = sorted((shard, s, h1, h2, k) for k, name in enumerate(strings) for shard, s, h1, h2 in trie.shards(name))
+    number = {}
+    shard = np.array([number.setdefault(r[0], len(number)) for r in rows])
+    i, j, d = trie.walk(shard, [r[1] for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+    own, got = np.array([r[4] for r in rows]), {}
+    for a, b, e in zip(own[i], own[j], d):
+        k = (min(a, b), max(a, b))
+        got[k] = min(got.get(k, 9), e)
+    return got
+
+
+def test_walk_of_shards_finds_exactly_the_near_pairs():
+    rng = random.Random(1)
+    for t in range(120):
+        alphabet = ("abcdé", "abcdefghijklmnop", "".join(map(chr, range(0x4E00, 0x4E00 + 300))))[t % 3]
+        base = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 3, 5, 7, 8, 9, 10, 11, 12, 13, 15, 17, 20, 25, 57, 58, 59, 60, 62, 90]))) for _ in range(7)]
+        strings = sorted({*base, *(typo(rng, b, alphabet) for b in base for _ in range(6))})
+        want = {(i, j): d for i in range(len(strings)) for j in range(i + 1, len(strings)) if (d := edits(strings[i], strings[j])) <= 2}
+        assert near_by_walk(strings) == want
+
+
+def test_tails_meet_for_all_within_two_edits():
     rng = random.Random(5)
     for _ in range(3_000):
         a = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
-        b = list(a)
-        for _ in range(2):
-            i = rng.randrange(len(b) + 1)
-            b[i : i + 2] = rng.choice([b[i : i + 2][::-1], b[i + 1 : i + 2], ["x", *b[i : i + 2]], ["y", *b[i + 1 : i + 2]]])
-        b = "".join(b)
+        b = typo(rng, a, "xy")
         if b and edits(a, b) <= 2:
-            assert linking._keys("org", a) & linking._keys("org", b), (a, b)
+            assert linking.tails(a) & linking.tails(b), (a, b)
 
 
-def test_hot_shard_gives_the_same_links(spark, monkeypatch):
+def test_hot_shards_give_the_same_pairs(spark, monkeypatch):
     rng = random.Random(3)
-    base = [f"{g} {m}. {a}{b}{c}ol" for g in ("Meera", "Thomas") for m in "KL" for a in ("ba", "ko", "ti") for b in ("ra", "ne") for c in ("m", "z")]
-    rows = [("m", "coram", s) for s in base] + [("m", "coram", s[:7] + rng.choice("xyz") + s[8:]) for s in base] + [("m", "coram", "Justice Baramol"), ("k", "coram", "Tom Rao"), ("k", "coram", "Thomas Rao")]
-    want = entities(spark, rows)
-    monkeypatch.setattr(linking, "HOT", 7)
-    assert entities(spark, rows) == want and len(want) > 20
+    base = ["".join(rng.choice(("ba", "ko", "ti", "re")) for _ in range(n)) for n in (2, 3, 4, 5, 6, 9) for _ in range(4)]
+    words_ = sorted({*base, *(typo(rng, b, "abk") for b in base for _ in range(5))})
+    cores = spark.createDataFrame([("org", w, k) for k, w in enumerate(words_)], "kind string, core string, c bigint")
+    want = {tuple(r) for r in linking.near_cores(cores).collect()}
+    assert want == {(i, j, d) for i in range(len(words_)) for j in range(i + 1, len(words_)) if (d := edits(words_[i], words_[j])) <= 2}
+    monkeypatch.setattr(linking, "HOT", 3)
+    monkeypatch.setattr(linking, "_BATCH", 50)
+    assert {tuple(r) for r in linking.near_cores(cores).collect()} == want
+
+
+def test_order_is_read_as_most_names_have_it(spark):
+    rows = [(s, 1) for s in ("Rao, Meera", "Rao, Thomas", "Meera K. Nair", "Meera Rao", "Rao Meera", "Thomas Meera Rao", "Usha Vale")]
+    got = {r.spelling: (r.given, r.surname) for r in linking.read_spellings(spark.createDataFrame(rows, "spelling string, n bigint")).collect()}
+    assert got["Meera Rao"] == got["Rao Meera"] == ("meera", "rao") and got["Thomas Meera Rao"] == ("thomas", "rao") and got["Usha Vale"] == ("usha", "vale")
+
+
+def test_typos_link_in_any_matter(spark):
+    rows = [("m1", "coram", "Meenakshi Venkataraman"), ("m2", "coram", "Meenakshi Venkatraman"), ("m3", "respondent", "Ganapathi Textiles Pvt. Ltd."), ("m4", "appellants", "Ganapati Textiles Pvt. Ltd.")]
+    assert entities(spark, rows) == {("Meenakshi Venkataraman", "Meenakshi Venkatraman"), ("Ganapathi Textiles Pvt. Ltd.", "Ganapati Textiles Pvt. Ltd.")}
+
+
+def test_names_without_a_matter_take_part(spark):
+    assert entities(spark, [(None, "coram", "Meera Rao"), (None, "coram", "RAO, MEERA"), ("m", "coram", "Meera Nair")]) == {("Meera Rao", "RAO, MEERA")}
 
 
 def test_empty_and_blank(spark):
@@ -147,4 +193,4 @@ def test_spellings_of(spark):
     rows = [("m1", ["A Bee; C. Dee, J.", None], "Ｅ Eff"), (None, ["A Bee"], None), ("m1", None, "Ｅ Eff")]
     df = spark.createDataFrame(rows, "matter string, coram array<string>, respondent string").withColumn("grp", F.lit("clash"))
     got = linking.spellings_of(df, "matter", {"coram": F.col("coram")}, {"respondent": F.array("respondent")})
-    assert sorted(tuple(r) for r in got.collect()) == [("m1", "coram", "A Bee"), ("m1", "coram", "C. Dee, J."), ("m1", "respondent", "E Eff")]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(None, "coram", "A Bee"), ("m1", "coram", "A Bee"), ("m1", "coram", "C. Dee, J."), ("m1", "respondent", "E Eff")]
