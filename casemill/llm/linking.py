@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -127,10 +128,16 @@ def slip(a: Name, b: Name) -> bool:
 # ---- spellings
 
 
+def number(text: str) -> int:
+    """64 bits that stand for a text."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], singles: dict[str, Column]) -> DataFrame:
-    """(grp, field_name, spelling): packed lists split, every spelling in its plain form, in one Arrow pass.
+    """(g, s, spelling): numbers of a place (group and field) and of a spelling that stands there, in one Arrow pass.
 
-    Rows without a group keep a null one: their spellings take part, but stand together with nothing. Rows may repeat.
+    Packed lists are split, every spelling is brought to its plain form. ``spelling`` is given where a task meets a number first,
+    else null. Rows without a group have a null place: their spellings stand together with nothing. Rows may repeat.
     """
     names_ = [*lists, *singles]
     lean = df.select(F.col(group_col).cast("string").alias("grp"), *[c.cast("array<string>").alias(f"c{i}") for i, c in enumerate([*lists.values(), *singles.values()])])
@@ -139,34 +146,39 @@ def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], single
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        met: set[int] = set()
         with plain_forms() as plain:
             for b in batches:
                 groups = b.column(0).dictionary_encode()
-                code = groups.indices.fill_null(-1).to_numpy() + 1
-                named = pa.concat_arrays([pa.array([None], pa.string()), groups.dictionary])
+                code = groups.indices.fill_null(-1).to_numpy()
                 for i, name in enumerate(names_):
-                    c = b.column(i + 1)
-                    flat = c.flatten()
-                    if not len(flat):
-                        continue
-                    parent = c.value_parent_indices().to_numpy()
+                    flat = b.column(i + 1).flatten()
                     enc = flat.dictionary_encode()
-                    at = enc.indices.fill_null(-1).to_numpy()
                     texts = enc.dictionary.to_pylist()
                     if not texts:
                         continue
+                    parent = b.column(i + 1).value_parent_indices().to_numpy()
+                    at = enc.indices.fill_null(-1).to_numpy()
                     entries = [split(x) if i < n_lists else (x,) for x in texts]
                     forms = plain([e for es in entries for e in es])
+                    numbers = np.array([number(x) if x else 0 for x in forms], np.int64)
                     ends = np.cumsum([len(es) for es in entries])
-                    pairs = np.unique(code[parent[at >= 0]].astype(np.int64) * len(texts) + at[at >= 0])
+                    pairs = np.unique((code[parent[at >= 0]].astype(np.int64) + 1) * len(texts) + at[at >= 0])
                     g, k = pairs // len(texts), pairs % len(texts)
                     sizes = np.diff(ends, prepend=0)[k]
                     place = np.repeat(ends[k] - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    spelling = pa.array(forms, pa.string()).take(pa.array(place))
-                    out = pa.RecordBatch.from_arrays([named.take(pa.array(np.repeat(g, sizes))), pa.array([name] * len(place), pa.string()), spelling], ["grp", "field_name", "spelling"])
-                    yield out.filter(pc.not_equal(spelling, ""))
+                    fresh = {n: x for n, x in zip(numbers.tolist(), forms) if x and n not in met}
+                    met.update(fresh)
+                    if len(met) > 1_000_000:
+                        met.clear()
+                    s = numbers[place]
+                    g = np.array([0, *(number(f"{name}\x00{x}") for x in groups.dictionary.to_pylist())], np.int64)[np.repeat(g, sizes)]
+                    named = s != 0
+                    yield pa.RecordBatch.from_arrays([pa.array(g[named], mask=g[named] == 0), pa.array(s[named]), pa.nulls(int(named.sum()), pa.string())], ["g", "s", "spelling"])
+                    if fresh:
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.int64()), pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.string())], ["g", "s", "spelling"])
 
-    return lean.mapInArrow(run, "grp string, field_name string, spelling string")
+    return lean.mapInArrow(run, "g bigint, s bigint, spelling string")
 
 
 @lru_cache(200_000)
@@ -180,41 +192,39 @@ _RAW = ("raw_core", "raw_surname", "raw_given")
 
 
 def read_spellings(spellings: DataFrame) -> DataFrame:
-    """(s, spelling, n, cls, options, fields of Name as they sound, raw fields where these differ): the reading of each spelling, ``options`` rows if a short given name leaves
-    several. ``spellings``: (spelling, n). ``cls`` numbers the class."""
+    """(s, spelling, n, cls, options, fields of Name as they sound, raw fields where these differ): the reading of each spelling,
+    ``options`` rows if a short given name leaves several. ``spellings``: (s, spelling, n). ``cls`` numbers the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, order, of, many, cols, raw = [], [], [], [], [], []
-            for i, s in enumerate(b.column(0).to_pylist()):
+            at, order, many, last, first, cols, raw = [], [], [], [], [], [], []
+            for i, s in enumerate(b.column(1).to_pylist()):
                 ways = names.orders(names.parse(s))
                 for k, way in enumerate(ways):
                     for n in way:
                         at.append(i)
-                        order.append(k)
-                        of.append(len(ways))
+                        order.append(k if len(ways) > 1 else -1)
                         many.append(len(way))
+                        words = n.kind == "person" and n.given and n.surname
+                        last.append(number(n.surname) if words else None)
+                        first.append(number(n.given) if words else None)
                         cols.append(same := names.sounded(n))
                         raw.append((n.core, n.surname, n.given) if n != same else (None,) * 3)
             got = (list(zip(*cols)) or [()] * 7) + (list(zip(*raw)) or [()] * 3)
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, *(pa.array(x, pa.int32()) for x in (order, of, many)), *(pa.array(x, pa.string()) for x in got)], names=["spelling", "n", "way", "ways", "options", *_FIELDS, *_RAW])
-
-    all_ = written(spellings.mapInArrow(run, "spelling string, n bigint, way int, ways int, options int, " + ", ".join(f"{f} string" for f in (*_FIELDS, *_RAW))), "readings")
-    sure = all_.where("ways = 1 AND options = 1 AND kind = 'person' AND given <> ''")
-    last = F.coalesce("raw_surname", "surname")
-    words = sure.select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(last.alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w"))
-    words = words.groupBy("w.word").agg(F.sum("w.g").alias("g"), F.sum("w.l").alias("l"))
-    open_ = all_.where("ways > 1").select("spelling", "way", F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(True).alias("first")), F.struct(last.alias("word"), F.lit(False).alias("first")))).alias("w")).select("spelling", "way", "w.word", "w.first")
-    odds = F.log(F.col("g") + F.lit(0.1)) - F.log(F.col("l") + F.lit(0.1))
-    role = open_.join(words, "word").groupBy("spelling", "way").agg(F.sum(F.when(F.col("first"), odds).otherwise(-odds)).alias("score"))
-    # an order that no word speaks for or against scores 0; of equal orders the natural one is meant
-    ranked = all_.where("ways > 1").select("spelling", "way").distinct().join(role, ["spelling", "way"], "left")
-    best = ranked.groupBy("spelling").agg(F.max_by("way", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("way"))).alias("best"))
-    chosen = all_.where("ways > 1").join(best, "spelling").where("way = best").drop("best")
-    one = all_.where("ways = 1").unionByName(chosen)
-    key = F.xxhash64("kind", "surname", F.when(F.col("options") > 1, F.lit("?")).otherwise(F.col("given")), F.when(F.col("options") == 1, F.col("initial")), "middle", "legal", F.when(F.col("kind") == "org", F.col("core")))
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, *(pa.array(x, pa.int32()) for x in (order, many)), *(pa.array(x, pa.int64()) for x in (first, last)), *(pa.array(x, pa.string()) for x in got)], names=["s", "spelling", "n", "way", "options", "first_word", "last_word", *_FIELDS, *_RAW])
+
+    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, n bigint, way int, options int, first_word bigint, last_word bigint, " + ", ".join(f"{f} string" for f in (*_FIELDS, *_RAW))), "readings")
+    sure = all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL").select("first_word", "last_word")
+    both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
+    words = both(sure).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
+    asked = both(all_.where("way >= 0").select("s", "way", "first_word", "last_word").distinct(), "s", "way").select("s", "word", F.when((F.col("way") == 0) == (F.col("g") == 1), 1).otherwise(-1).alias("sign"))
+    # what the words say for the natural order; if they say nothing, it's meant
+    turned = asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best"))
+    chosen = all_.where("way >= 0").join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
+    one = all_.where("way < 0").unionByName(chosen)
+    key = F.xxhash64("kind", "surname", "given", "initial", "middle", "legal", F.when(F.col("kind") == "org", F.col("core")))
     # spellings with several options are classes by themselves: each is read by its own company
-    return one.select(F.xxhash64("spelling").alias("s"), "spelling", "n", F.when(F.col("options") > 1, F.xxhash64("spelling", F.lit("?"))).otherwise(key).alias("cls"), "options", *_FIELDS, *_RAW)
+    return one.select("s", "spelling", "n", F.when(F.col("options") > 1, F.xxhash64("s", F.lit("?"))).otherwise(key).alias("cls"), "options", *_FIELDS, *_RAW)
 
 
 # ---- classes of one core
@@ -428,11 +438,14 @@ def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame) -> D
     An entity stands with the core that most of its spellings have. Of the entities that fit an entity, those met as often or
     oftener are its candidates; it's linked to the one met most often if all its other candidates fit that one as well.
     """
-    known = classes.select("cls", "c", "n_spellings", "n").distinct().join(entities, "cls")
+    apart = slips_.join(entities.select(F.col("cls").alias("a"), F.col("entity").alias("na")), "a").join(entities.select(F.col("cls").alias("b"), F.col("entity").alias("nb")), "b").where("na <> nb")
+    apart = written(apart, "apart")
+    asked = apart.select(F.col("na").alias("entity")).union(apart.select("nb")).distinct()
+    known = written(entities.join(asked, "entity", "left_semi").join(classes.select("cls", "c", "n_spellings", "n"), "cls"), "known")
     weight = known.groupBy("entity", "c").agg(F.sum("n_spellings").alias("k"), F.sum("n").alias("n"))
     met = weight.groupBy("entity").agg(F.max("k").alias("k"), F.sum("n").alias("met"))
     main = written(known.join(weight.join(met, ["entity", "k"]).select("entity", "c", "met"), ["entity", "c"]).select("cls", F.struct("met", "entity").alias("e")), "mains")
-    fit = slips_.join(main.select(F.col("cls").alias("a"), F.col("e").alias("ea")), "a").join(main.select(F.col("cls").alias("b"), F.col("e").alias("eb")), "b").where("ea <> eb").select("ea", "eb").distinct()
+    fit = apart.join(main.select(F.col("cls").alias("a"), F.col("e").alias("ea")), "a").join(main.select(F.col("cls").alias("b"), F.col("e").alias("eb")), "b").select("ea", "eb").distinct()
     fit = written(fit, "fitting")
     both = written(fit.union(fit.select("eb", "ea")).distinct(), "fitting")
     ranked = both.where("eb.met >= ea.met")
@@ -444,43 +457,46 @@ def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame) -> D
     return clear.select(F.col("ea.entity").alias("sa"), F.col("best.entity").alias("sb"))
 
 
-def link_spellings(occurrences: DataFrame) -> DataFrame:
-    """(spelling, entity): spellings with one entity (a number) are linked; every spelling with a reading has one."""
-    spellings = occurrences.groupBy("spelling").agg(F.count("*").alias("n"))
+def link_spellings(met_: DataFrame) -> DataFrame:
+    """(spelling, entity): spellings with one entity (a number) are linked; every spelling with a reading has one.
+
+    ``met_``: (g, s, spelling) as from ``spellings_of``.
+    """
+    counts = met_.where("spelling IS NULL").groupBy("s").agg(F.count("*").alias("n"))
+    spellings = met_.where("spelling IS NOT NULL").select("s", "spelling").repartition("s").distinct().join(counts, "s")
     read = written(read_spellings(spellings), "read")
     classes = read.groupBy("cls", "options", *_FIELDS).agg(F.count("*").cast("int").alias("n_spellings"), F.sum("n").alias("n")).withColumn("c", F.xxhash64("kind", "core"))
     classes = written(classes, "classes")
-    links = grouped(classes.select(*_FIELDS, "cls", "options", "n_spellings"), ["kind", "core"], core_links, "cls bigint, rep bigint, member bigint")
-    links = written(links, "core-links")
+    links = written(grouped(classes.select(*_FIELDS, "cls", "options", "n_spellings"), ["kind", "core"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
     # a bare surname may be any person of that surname
     bare = classes.where("kind = 'person' AND initial = ''").select(F.col("cls").alias("bare"), "surname").join(classes.where("kind = 'person' AND initial <> '' AND options = 1").select("cls", "surname"), "surname")
     base = links.where("member IS NULL").select("cls", "rep")
-    loose = links.where("member IS NOT NULL")
-    loose = written(loose.unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member"))), "loose")
+    loose = links.where("member IS NOT NULL").unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member")))
+    loose = written(loose, "loose")
     # a typo may have changed a word before or after it is written as it sounds: either form may be near another
     raw = read.where("raw_core IS NOT NULL").select("cls", "options", "kind", *[F.col(f"raw_{f}").alias(f) for f in ("core", "surname", "given")], "initial", "middle", "legal").distinct()
-    forms = written(classes.select("cls", "options", *_FIELDS).unionByName(raw).where("options = 1").withColumn("c", F.xxhash64("kind", "core")), "forms")
+    forms = classes.select("cls", "options", *_FIELDS).unionByName(raw).where("options = 1").withColumn("c", F.xxhash64("kind", "core"))
     near = written(near_classes(near_cores(forms.select("kind", "core", "c").distinct()), forms), "near")
 
-    # node of a spelling: the representative of its class, or the spelling itself where the class is ambiguous
-    nodes = read.select("s", "spelling", "cls").distinct().join(base, "cls", "left").join(loose.select("cls", F.lit(True).alias("is_loose")).distinct(), "cls", "left")
-    nodes = written(nodes.select("s", "spelling", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose")), "nodes")
+    # node of a class: its representative; of a spelling: that of its class, or the spelling itself where the class is ambiguous
+    state = base.select("cls", "rep", F.lit(False).alias("is_loose")).unionByName(loose.select("cls", F.lit(None).cast("bigint").alias("rep"), F.lit(True).alias("is_loose")))
+    state = state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose"))
     wanted = near.select(F.col("a").alias("cls"), F.col("b").alias("with"), F.lit(None).cast("bigint").alias("rep")).unionByName(loose.select("cls", F.col("member").alias("with"), "rep"))
-    asked = wanted.select("cls").union(wanted.select("with")).distinct()
-    placed = occurrences.where("grp IS NOT NULL").select(F.xxhash64("grp", "field_name").alias("g"), F.xxhash64("spelling").alias("s"))
-    placed = written(placed.join(nodes.join(asked, "cls", "left_semi").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct(), "placed")
+    asked = wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked"))
+    nodes = read.select("s", "cls").distinct().join(state, "cls", "left").join(asked, "cls", "left")
+    nodes = written(nodes.select("s", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("is_asked").isNotNull().alias("is_asked")), "nodes")
+    placed = met_.where("g IS NOT NULL").select("g", "s").join(nodes.where("is_asked").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct()
+    placed = written(placed, "placed")
     other = placed.select("g", F.col("cls").alias("with"), F.col("node").alias("other"))
-    met = wanted.join(placed, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
-    met = written(met, "met")
-    voted = met.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
-    # a representative may be ambiguous no more than its class: it stands for itself
-    edges = met.where("is_near").select("node", "other").unionByName(voted).distinct()
-    linked = components(edges, "node", "other")
-    entity = nodes.select("s", "spelling", "cls", "node", "is_loose").join(linked, "node", "left").select("s", "spelling", "cls", "is_loose", F.coalesce("component", "node").alias("entity"))
-    entity = written(entity, "entities")
+    together = wanted.join(placed, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
+    together = written(together, "together")
+    voted = together.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
+    linked = components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other")
+    entity = written(nodes.join(linked, "node", "left").select("s", "cls", "is_loose", F.coalesce("component", "node").alias("entity")), "entities")
     wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
-    return entity.join(merged, "entity", "left").select("spelling", F.coalesce("component", "entity").alias("entity"))
+    final = entity.join(merged, "entity", "left").select("s", F.coalesce("component", "entity").alias("entity"))
+    return final.join(read.select("s", "spelling").distinct(), "s").select("spelling", "entity")
 
 
 def spelling_entities(linked: DataFrame) -> DataFrame:
