@@ -23,12 +23,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from casemill.llm import names, trie
 from casemill.llm.canonical import plain_forms
@@ -130,7 +130,8 @@ def slip(a: Name, b: Name) -> bool:
 
 def number(text: str) -> int:
     """64 bits that stand for a text."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    n = xxh3_64_intdigest(text)
+    return n - (1 << 64) if n >> 63 else n
 
 
 def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], singles: dict[str, Column]) -> DataFrame:
@@ -147,10 +148,12 @@ def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], single
         import numpy as np
 
         met: set[int] = set()
+        stood: set[tuple[int, int]] = set()
         with plain_forms() as plain:
             for b in batches:
                 groups = b.column(0).dictionary_encode()
                 code = groups.indices.fill_null(-1).to_numpy()
+                parts, forms = [], []
                 for i, name in enumerate(names_):
                     flat = b.column(i + 1).flatten()
                     enc = flat.dictionary_encode()
@@ -160,23 +163,32 @@ def spellings_of(df: DataFrame, group_col: str, lists: dict[str, Column], single
                     parent = b.column(i + 1).value_parent_indices().to_numpy()
                     at = enc.indices.fill_null(-1).to_numpy()
                     entries = [split(x) if i < n_lists else (x,) for x in texts]
-                    forms = plain([e for es in entries for e in es])
-                    numbers = np.array([number(x) if x else 0 for x in forms], np.int64)
-                    ends = np.cumsum([len(es) for es in entries])
+                    sizes = np.array([len(es) for es in entries])
                     pairs = np.unique((code[parent[at >= 0]].astype(np.int64) + 1) * len(texts) + at[at >= 0])
                     g, k = pairs // len(texts), pairs % len(texts)
-                    sizes = np.diff(ends, prepend=0)[k]
-                    place = np.repeat(ends[k] - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    fresh = {n: x for n, x in zip(numbers.tolist(), forms) if x and n not in met}
-                    met.update(fresh)
-                    if len(met) > 1_000_000:
-                        met.clear()
-                    s = numbers[place]
+                    begin = len(forms) + np.cumsum(sizes) - sizes
+                    forms += [e for es in entries for e in es]
+                    sizes, begin = sizes[k], begin[k]
+                    place = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                     g = np.array([0, *(number(f"{name}\x00{x}") for x in groups.dictionary.to_pylist())], np.int64)[np.repeat(g, sizes)]
-                    named = s != 0
-                    yield pa.RecordBatch.from_arrays([pa.array(g[named], mask=g[named] == 0), pa.array(s[named]), pa.nulls(int(named.sum()), pa.string())], ["g", "s", "spelling"])
-                    if fresh:
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.int64()), pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.string())], ["g", "s", "spelling"])
+                    parts.append((g, place))
+                if not parts:
+                    continue
+                forms = plain(forms)
+                numbers = [number(x) if x else 0 for x in forms]
+                fresh = {n: x for n, x in zip(numbers, forms) if x and n not in met}
+                met.update(fresh)
+                g, s = np.concatenate([g for g, _ in parts]), np.array(numbers, np.int64)[np.concatenate([p for _, p in parts])]
+                new = set(zip(g[s != 0].tolist(), s[s != 0].tolist())) - stood
+                stood |= new
+                if len(stood) > 500_000:  # repeats are harmless, they only cost
+                    met.clear()
+                    stood.clear()
+                g, s = zip(*new) if new else ((), ())
+                g = np.array(g, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(g, mask=g == 0), pa.array(s, pa.int64()), pa.nulls(len(g), pa.string())], ["g", "s", "spelling"])
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(fresh), pa.int64()), pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.string())], ["g", "s", "spelling"])
 
     return lean.mapInArrow(run, "g bigint, s bigint, spelling string")
 
@@ -187,44 +199,60 @@ def split(element: str) -> tuple[str, ...]:
     return tuple(e for e, _ in parse_packed(element))
 
 
-_FIELDS = ("kind", "core", "surname", "given", "initial", "middle", "legal")
-_RAW = ("raw_core", "raw_surname", "raw_given")
+_CUT = "\x1f"
+
+
+def packed(n: Name) -> str:
+    """A reading as one string, which moves more cheaply than its fields."""
+    return _CUT.join((n.kind, n.core, n.given, n.initial, n.middle, n.legal))
+
+
+def unpacked(x: str) -> Name:
+    kind, core, given, initial, middle, legal = x.split(_CUT)
+    return Name(kind, core, core[len(initial) :] if kind == "person" else core.split(" ")[0], given, initial, middle, legal)
+
+
+def _field(col: str, name: str) -> Column:
+    """A field of a packed reading, in the JVM."""
+    return F.split_part(F.col(col), F.lit(_CUT), F.lit(1 + ("kind", "core", "given", "initial", "middle", "legal").index(name)))
+
+
+def _core_number(n: Name) -> int:
+    return number(n.kind + n.core)
 
 
 def read_spellings(spellings: DataFrame) -> DataFrame:
-    """(s, spelling, n, cls, options, fields of Name as they sound, raw fields where these differ): the reading of each spelling,
-    ``options`` rows if a short given name leaves several. ``spellings``: (s, spelling, n). ``cls`` numbers the class."""
+    """(s, spelling, n, cls, options, is_first, name, c, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
+    ``raw`` as written, where that differs; c and raw_c number the cores, ``cls`` the class.
+
+    ``options`` rows, of which one ``is_first``, if a short given name leaves several. ``spellings``: (s, spelling, n).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, order, many, last, first, cols, raw = [], [], [], [], [], [], []
+            rows = []
             for i, s in enumerate(b.column(1).to_pylist()):
                 ways = names.orders(names.parse(s))
                 for k, way in enumerate(ways):
                     for n in way:
-                        at.append(i)
-                        order.append(k if len(ways) > 1 else -1)
-                        many.append(len(way))
+                        same = names.sounded(n)
                         words = n.kind == "person" and n.given and n.surname
-                        last.append(number(n.surname) if words else None)
-                        first.append(number(n.given) if words else None)
-                        cols.append(same := names.sounded(n))
-                        raw.append((n.core, n.surname, n.given) if n != same else (None,) * 3)
-            got = (list(zip(*cols)) or [()] * 7) + (list(zip(*raw)) or [()] * 3)
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, *(pa.array(x, pa.int32()) for x in (order, many)), *(pa.array(x, pa.int64()) for x in (first, last)), *(pa.array(x, pa.string()) for x in got)], names=["s", "spelling", "n", "way", "options", "first_word", "last_word", *_FIELDS, *_RAW])
-
-    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, n bigint, way int, options int, first_word bigint, last_word bigint, " + ", ".join(f"{f} string" for f in (*_FIELDS, *_RAW))), "readings")
-    sure = all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL").select("first_word", "last_word")
+                        rows.append((i, k if len(ways) > 1 else -1, len(way), n is way[0], number(n.given) if words else None, number(n.surname) if words else None, packed(same), _core_number(same), *((packed(n), _core_number(n)) if n != same else (None, None))))
+            got = list(zip(*rows)) or [()] * 10
+            types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(got[0], pa.int64())).columns, *map(pa.array, got[1:], types)], names=["s", "spelling", "n", "way", "options", "is_first", "first_word", "last_word", "name", "c", "raw", "raw_c"])
+
+    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, n bigint, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, raw string, raw_c bigint"), "readings")
     both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
-    words = both(sure).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
-    asked = both(all_.where("way >= 0").select("s", "way", "first_word", "last_word").distinct(), "s", "way").select("s", "word", F.when((F.col("way") == 0) == (F.col("g") == 1), 1).otherwise(-1).alias("sign"))
-    # what the words say for the natural order; if they say nothing, it's meant
+    words = both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
+    # what the words say for the natural order of a spelling; if they say nothing, it's meant
+    asked = both(all_.where("way = 0"), "s").select("s", "word", (F.col("g") - F.col("l")).alias("sign"))
     turned = asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best"))
-    chosen = all_.where("way >= 0").join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
-    one = all_.where("way < 0").unionByName(chosen)
-    key = F.xxhash64("kind", "surname", "given", "initial", "middle", "legal", F.when(F.col("kind") == "org", F.col("core")))
+    lean = ("s", "spelling", "n", "way", "options", "is_first", "name", "c", "raw", "raw_c")
+    chosen = all_.where("way >= 0").select(*lean).join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
+    one = all_.where("way < 0").select(*lean).unionByName(chosen).drop("way")
     # spellings with several options are classes by themselves: each is read by its own company
-    return one.select("s", "spelling", "n", F.when(F.col("options") > 1, F.xxhash64("s", F.lit("?"))).otherwise(key).alias("cls"), "options", *_FIELDS, *_RAW)
+    return one.withColumn("cls", F.when(F.col("options") > 1, F.xxhash64("s", F.lit("?"))).otherwise(F.xxhash64("name")))
 
 
 # ---- classes of one core
@@ -283,10 +311,11 @@ def core_links(rows: list[tuple]) -> Iterator[tuple[int, int, int | None]]:
     """(class, representative, member) of the classes of one core, wherever they occur.
 
     member null: the class is that person or organisation. Otherwise the class is ambiguous, and ``member`` is a class of a
-    person that it may be. ``rows``: (kind, core, surname, given, initial, middle, legal, cls, options, n).
+    person that it may be. ``rows``: (number of the core, packed reading, cls, options, n).
     """
     if len(rows) == 1:
         return
+    rows = [(*unpacked(r[1]), *r[2:]) for r in rows]
     if rows[0][0] == "org":
         by_legal = {r[6]: r[7] for r in rows}
         if (plain := by_legal.pop("", None)) is not None:
@@ -348,16 +377,16 @@ def core_links(rows: list[tuple]) -> Iterator[tuple[int, int, int | None]]:
 
 
 def near_cores(cores: DataFrame) -> DataFrame:
-    """(a, b, d): numbers of all distinct cores of one kind with 1 or 2 edits between them, a < b. ``cores``: (kind, core, c)."""
+    """(a, b, d): numbers of all distinct cores of one kind with 1 or 2 edits between them, a < b. ``cores``: (core, c), where a
+    core follows its kind."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k + x, s, h1, h2) for i, (k, core) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for x, s, h1, h2 in trie.shards(core)]
+            rows = [(i, number(kind + x), s, h1, h2) for i, (kind, core) in enumerate(x.split(_CUT) for x in b.column(0).to_pylist()) for x, s, h1, h2 in trie.shards(core)]
             cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.string()) for c in cols[1:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["c", "shard", "name", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), b.column(1).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["shard", "name", "c", "h1", "h2"])
 
-    rows = cores.mapInArrow(placed, "c bigint, shard string, name string, h1 int, h2 int").select(F.xxhash64("shard").alias("shard"), "name", "c", "h1", "h2")
-    rows = written(rows, "shards")
+    rows = written(cores.mapInArrow(placed, "shard bigint, name string, c bigint, h1 int, h2 int"), "shards")
     hot = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("shard")
     if not hot.isEmpty():
         rows = rows.join(hot, "shard", "left_anti").unionByName(_cut(rows.join(hot, "shard")))
@@ -412,21 +441,26 @@ def tails(s: str) -> set[str]:
 
 
 def near_classes(near: DataFrame, forms: DataFrame) -> DataFrame:
-    """(a, b, is_slip): classes whose cores are near and that fit."""
-    side = lambda x: forms.select(F.col("c").alias(x), *[F.col(f).alias(f"{f}_{x}") for f in ("cls", *_FIELDS)])
-    pairs = near.join(side("a"), "a").join(side("b"), "b").where("(kind_a = 'org' OR given_a = given_b OR given_a = '' OR given_b = '' OR levenshtein(given_a, given_b, 4) >= 0) AND (middle_a = '' OR middle_b = '' OR length(middle_a) > 1 AND length(middle_b) > 1 OR left(middle_a, 1) = left(middle_b, 1))")
-    pairs = pairs.select("cls_a", "cls_b", "d", *[f"{f}_a" for f in _FIELDS], *[f"{f}_b" for f in _FIELDS])
+    """(a, b, is_slip): classes whose cores are near and that fit. ``forms``: (c, cls, name)."""
+    side = lambda x: forms.select(F.col("c").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("name").alias(f"name_{x}"))
+    pairs = near.join(side("a"), "a").join(side("b"), "b").where("cls_a <> cls_b")
+    pairs = pairs.select("cls_a", "cls_b", "d", "name_a", "name_b", *[_field(f"name_{x}", f).alias(f"{f}_{x}") for x in "ab" for f in ("kind", "given", "initial", "middle")])
+    # what can't fit is left out in the JVM: a Levenshtein distance is at most twice the edits, of which a swap is one
+    given = "given_a = given_b OR given_a = '' OR given_b = '' OR (d < 2 AND levenshtein(given_a, given_b, 2) >= 0) OR (least(length(given_a), length(given_b)) > 3 AND regexp_like(concat(given_a, given_b), 'ee|oo|ph|ck'))"
+    apart = "given_a <> '' AND given_b <> '' AND levenshtein(given_a, given_b, 4) >= 0"
+    middle = "middle_a = '' OR middle_b = '' OR length(middle_a) > 1 AND length(middle_b) > 1 OR left(middle_a, 1) = left(middle_b, 1)"
+    pairs = pairs.where(f"kind_a = 'org' OR (({middle}) AND (initial_a = initial_b AND ({given}) OR initial_a <> initial_b AND {apart} OR initial_a = '' OR initial_b = ''))").select("cls_a", "cls_b", "d", "name_a", "name_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                x, y = Name(*r[3:10]), Name(*r[10:17])
-                if fits(x, y, r[2]):
-                    out.append((min(r[:2]), max(r[:2]), slip(x, y)))
+            for ca, cb, d, na, nb in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = unpacked(na), unpacked(nb)
+                if fits(x, y, d):
+                    out.append((min(ca, cb), max(ca, cb), slip(x, y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "is_slip"])
 
-    return pairs.where("cls_a <> cls_b").mapInArrow(run, "a bigint, b bigint, is_slip boolean").groupBy("a", "b").agg(F.max("is_slip").alias("is_slip"))
+    return pairs.mapInArrow(run, "a bigint, b bigint, is_slip boolean").groupBy("a", "b").agg(F.max("is_slip").alias("is_slip"))
 
 
 # ---- evidence and entities
@@ -465,25 +499,26 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     counts = met_.where("spelling IS NULL").groupBy("s").agg(F.count("*").alias("n"))
     spellings = met_.where("spelling IS NOT NULL").select("s", "spelling").repartition("s").distinct().join(counts, "s")
     read = written(read_spellings(spellings), "read")
-    classes = read.groupBy("cls", "options", *_FIELDS).agg(F.count("*").cast("int").alias("n_spellings"), F.sum("n").alias("n")).withColumn("c", F.xxhash64("kind", "core"))
-    classes = written(classes, "classes")
-    links = written(grouped(classes.select(*_FIELDS, "cls", "options", "n_spellings"), ["kind", "core"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
+    classes = written(read.groupBy("cls", "options", "name", "c").agg(F.count("*").cast("int").alias("n_spellings"), F.sum("n").alias("n")), "classes")
+    links = written(grouped(classes.select("c", "name", "cls", "options", "n_spellings"), ["c"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
     # a bare surname may be any person of that surname
-    bare = classes.where("kind = 'person' AND initial = ''").select(F.col("cls").alias("bare"), "surname").join(classes.where("kind = 'person' AND initial <> '' AND options = 1").select("cls", "surname"), "surname")
+    persons = classes.where("options = 1").select("cls", "name", _field("name", "kind").alias("kind"), _field("name", "initial").alias("initial"), _field("name", "core").alias("core")).where("kind = 'person'")
+    bare = persons.where("initial = ''").select(F.col("cls").alias("bare"), F.col("core").alias("surname")).join(persons.where("initial <> ''").select("cls", F.expr("substring(core, 2)").alias("surname")), "surname")
     base = links.where("member IS NULL").select("cls", "rep")
     loose = links.where("member IS NOT NULL").unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member")))
     loose = written(loose, "loose")
     # a typo may have changed a word before or after it is written as it sounds: either form may be near another
-    raw = read.where("raw_core IS NOT NULL").select("cls", "options", "kind", *[F.col(f"raw_{f}").alias(f) for f in ("core", "surname", "given")], "initial", "middle", "legal").distinct()
-    forms = classes.select("cls", "options", *_FIELDS).unionByName(raw).where("options = 1").withColumn("c", F.xxhash64("kind", "core"))
-    near = written(near_classes(near_cores(forms.select("kind", "core", "c").distinct()), forms), "near")
+    raw = read.where("raw IS NOT NULL AND options = 1").select("cls", F.col("raw").alias("name"), F.col("raw_c").alias("c")).distinct()
+    forms = classes.where("options = 1").select("cls", "name", "c").unionByName(raw)
+    cores = forms.select(F.substring_index("name", _CUT, 2).alias("core"), "c").distinct()
+    near = written(near_classes(near_cores(cores), forms), "near")
 
     # node of a class: its representative; of a spelling: that of its class, or the spelling itself where the class is ambiguous
     state = base.select("cls", "rep", F.lit(False).alias("is_loose")).unionByName(loose.select("cls", F.lit(None).cast("bigint").alias("rep"), F.lit(True).alias("is_loose")))
     state = state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose"))
     wanted = near.select(F.col("a").alias("cls"), F.col("b").alias("with"), F.lit(None).cast("bigint").alias("rep")).unionByName(loose.select("cls", F.col("member").alias("with"), "rep"))
     asked = wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked"))
-    nodes = read.select("s", "cls").distinct().join(state, "cls", "left").join(asked, "cls", "left")
+    nodes = read.where("is_first").select("s", "cls").join(state, "cls", "left").join(asked, "cls", "left")
     nodes = written(nodes.select("s", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("is_asked").isNotNull().alias("is_asked")), "nodes")
     placed = met_.where("g IS NOT NULL").select("g", "s").join(nodes.where("is_asked").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct()
     placed = written(placed, "placed")
@@ -496,7 +531,7 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
     final = entity.join(merged, "entity", "left").select("s", F.coalesce("component", "entity").alias("entity"))
-    return final.join(read.select("s", "spelling").distinct(), "s").select("spelling", "entity")
+    return final.join(read.where("is_first").select("s", "spelling"), "s").select("spelling", "entity")
 
 
 def spelling_entities(linked: DataFrame) -> DataFrame:

@@ -109,19 +109,25 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
         return none
     order = sorted(range(n), key=lambda i: (shard[i], strings[i][:_MOST]))
     at = np.array(order)
-    chars = np.array([strings[i][:60] for i in order], dtype="U60").view(np.uint32).reshape(n, 60)
+    width = min(60, max(1, max(map(len, strings))))
+    chars = np.array([strings[i][:60] for i in order], dtype=f"U{width}").view(np.uint32).reshape(n, width)
     length = (chars != 0).sum(axis=1)
-    alphabet, codes = np.unique(chars, return_inverse=True)
-    codes = codes.reshape(n, 60).astype(np.int64)
-    if alphabet[0] != 0:
-        codes += 1
-    codes = np.where(codes > _LETTERS, codes % _LETTERS + 1, codes)
+    seen = np.zeros(int(chars.max()) + 1, bool)
+    seen[chars] = True
+    seen[0] = False
+    size = int(seen.sum())
+    of = np.cumsum(seen)
+    of[~seen] = 0
+    codes = of[chars]
+    if size > _LETTERS:
+        codes = np.where(codes > _LETTERS, codes % _LETTERS + 1, codes)
     letters = int(codes.max()) + 1
-    masks = np.zeros((n, letters), np.uint64)
+    word = np.uint32 if width < 30 else np.uint64  # one bit for each prefix of a probe, and two to spare
+    masks = np.zeros((n, letters), word)
     rows = np.arange(n)
     for k in range(int(length.max())):
         has = length > k
-        masks[rows[has], codes[has, k]] |= np.uint64(1 << k)
+        masks[rows[has], codes[has, k]] |= word(1 << k)
     stored = np.minimum(length, _MOST)
     lead = np.asarray(shard)[at]
     h1, h2 = np.asarray(h1)[at], np.asarray(h2)[at]
@@ -129,18 +135,19 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
     new[1:] = lead[1:] != lead[:-1]
     node = np.cumsum(new) - 1  # of each string, the node of the level
     looks = np.flatnonzero(h2 >= 0)
-    full = (np.uint64(2) << length.astype(np.uint64)) - np.uint64(1)
-    goal, cut = np.uint64(1) << length.astype(np.uint64), np.uint64(31 << (_MOST - 2))
-    low = lambda h: ~((np.uint64(1) << np.maximum(h, 0).astype(np.uint64)) - np.uint64(1))
+    bits = length.astype(word)
+    one, two = word(1), word(2)
+    full = (two << bits) - one
+    goal, cut = one << bits, word(31 << (_MOST - 2) if width >= _MOST else 0)
+    low = lambda h: ~((one << np.maximum(h, 0).astype(word)) - one)
     free1, free2 = low(h1), low(h2)  # prefixes that may be reached with one and with two edits
     p, v = looks, node[looks]
-    r0 = np.ones(len(p), np.uint64)
-    r1 = np.where(h1[p] == 0, np.uint64(3), np.uint64(1)) & full[p]
-    r2 = (r1 | (np.uint64(7) & free2[p])) & full[p]
-    t1 = t2 = np.zeros(len(p), np.uint64)
-    one, two = np.uint64(1), np.uint64(2)
+    r0 = np.ones(len(p), word)
+    r1 = np.where(h1[p] == 0, word(3), one) & full[p]
+    r2 = (r1 | (word(7) & free2[p])) & full[p]
+    t1 = t2 = np.zeros(len(p), word)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for level in range(_MOST):
+    for level in range(min(_MOST, width)):
         # children: strings longer than the level, grouped by (node, letter); sorted strings keep the children of a node together
         live = np.flatnonzero(stored > level)
         if not len(live) or not len(p):
@@ -188,7 +195,7 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
     if not out:
         return none
     i, j, d = (np.concatenate(x) for x in zip(*out))
-    doubtful = (np.maximum(length[np.argsort(at)][i], length[np.argsort(at)][j]) >= _MOST) | (len(alphabet) > _LETTERS)
+    doubtful = (np.maximum(length[np.argsort(at)][i], length[np.argsort(at)][j]) >= _MOST) | (size > _LETTERS)
     if doubtful.any():
         real = np.array([edits(strings[a], strings[b]) if x else e for a, b, x, e in zip(i, j, doubtful, d)])
         i, j, d = i[real <= 2], j[real <= 2], real[real <= 2]
