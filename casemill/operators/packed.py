@@ -80,11 +80,16 @@ def parse_packed(text: str | None) -> list[tuple[str, str]]:
     return [(x, flag if f == "ok" else f) for x, f in items if x]
 
 
+_COMMA, _PAIR, _DIGIT = re.compile("[,，]"), re.compile(r"&|\sand\s", re.I), re.compile(r"\d")
+
+
 def _parse_list(s: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     i, n = 0, len(s)
+    # alternatives that need a letter which the list lacks are not tried
+    comma, pair, digit = _COMMA.search(s), _PAIR.search(s), _DIGIT.search(s)
     while i < n:
-        if m := _NUMBER.match(s, i) or _SEPARATOR.match(s, i):
+        if m := (_NUMBER.match(s, i) if digit else None) or _SEPARATOR.match(s, i):
             i = m.end()
             continue
         flag = "ok"
@@ -95,12 +100,12 @@ def _parse_list(s: str) -> list[tuple[str, str]]:
                 flag = "malformed_quote"
                 m = _PLAIN.match(s, i)
                 value, i = m[0], m.end()
-        elif m := _FIRM.match(s, i) or _INVERTED.match(s, i) or _PLAIN.match(s, i):
+        elif m := (_FIRM.match(s, i) if pair else None) or (_INVERTED.match(s, i) if comma else None) or _PLAIN.match(s, i):
             value, i = m[0], m.end()
         else:  # a stray closing bracket
             i += 1
             continue
-        while m := _ROLE.match(s, i):
+        while comma and (m := _ROLE.match(s, i)):
             value, i = value + m[0], m.end()
         if value := value.strip():
             out.append((value, flag))
