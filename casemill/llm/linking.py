@@ -96,6 +96,7 @@ _SLIP |= {(b, a) for a, b in _SLIP}
 def slips(a: str, b: str) -> int:
     """The least cost of the slips that make one word of the other: 1 for a swap, 3 for a letter more or less, 4 for a neighbour
     on the keyboard or a letter that sounds alike, 9 for any other letter."""
+    a, b = trie.differing(a, b)
     prev2: list[int] = []
     prev = list(range(0, 3 * len(b) + 1, 3))
     for i, ca in enumerate(a, 1):
@@ -222,10 +223,10 @@ def _core_number(n: Name) -> int:
 
 
 def read_spellings(spellings: DataFrame) -> DataFrame:
-    """(s, spelling, n, cls, options, is_first, name, c, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
+    """(s, spelling, cls, options, is_first, name, c, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
     ``raw`` as written, where that differs; c and raw_c number the cores, ``cls`` the class.
 
-    ``options`` rows, of which one ``is_first``, if a short given name leaves several. ``spellings``: (s, spelling, n).
+    ``options`` rows, of which one ``is_first``, if a short given name leaves several. ``spellings``: (s, spelling).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,15 +241,15 @@ def read_spellings(spellings: DataFrame) -> DataFrame:
                         rows.append((i, k if len(ways) > 1 else -1, len(way), n is way[0], number(n.given) if words else None, number(n.surname) if words else None, packed(same), _core_number(same), *((packed(n), _core_number(n)) if n != same else (None, None))))
             got = list(zip(*rows)) or [()] * 10
             types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(got[0], pa.int64())).columns, *map(pa.array, got[1:], types)], names=["s", "spelling", "n", "way", "options", "is_first", "first_word", "last_word", "name", "c", "raw", "raw_c"])
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(got[0], pa.int64())).columns, *map(pa.array, got[1:], types)], names=["s", "spelling", "way", "options", "is_first", "first_word", "last_word", "name", "c", "raw", "raw_c"])
 
-    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, n bigint, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, raw string, raw_c bigint"), "readings")
+    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, raw string, raw_c bigint"), "readings")
     both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
     words = both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
     # what the words say for the natural order of a spelling; if they say nothing, it's meant
     asked = both(all_.where("way = 0"), "s").select("s", "word", (F.col("g") - F.col("l")).alias("sign"))
     turned = asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best"))
-    lean = ("s", "spelling", "n", "way", "options", "is_first", "name", "c", "raw", "raw_c")
+    lean = ("s", "spelling", "way", "options", "is_first", "name", "c", "raw", "raw_c")
     chosen = all_.where("way >= 0").select(*lean).join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
     one = all_.where("way < 0").select(*lean).unionByName(chosen).drop("way")
     # spellings with several options are classes by themselves: each is read by its own company
@@ -396,8 +397,14 @@ def near_cores(cores: DataFrame) -> DataFrame:
 
         def found(t: pa.Table) -> pa.RecordBatch:
             col = lambda i: t.column(i).to_numpy()
-            shard = np.unique(col(0), return_inverse=True)[1]
-            i, j, d = trie.walk(shard, t.column(1).to_pylist(), col(3), col(4))
+            shard = np.cumsum(np.diff(col(0), prepend=col(0)[0]) != 0)
+            texts = t.column(1).to_pylist()
+            short = (np.bincount(shard, np.fromiter(map(len, texts), np.int64, len(texts)) > 29) == 0)[shard]
+            got = []
+            for at in (np.flatnonzero(short), np.flatnonzero(~short)):  # short names need half the bits
+                i, j, d = trie.walk(shard[at], [texts[k] for k in at], col(3)[at], col(4)[at])
+                got.append((at[i], at[j], d))
+            i, j, d = (np.concatenate(x) for x in zip(*got))
             own = col(2)
             pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j]), d]), axis=1) if len(i) else np.zeros((3, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2].astype(np.int32))], names=["a", "b", "d"])
@@ -466,8 +473,8 @@ def near_classes(near: DataFrame, forms: DataFrame) -> DataFrame:
 # ---- evidence and entities
 
 
-def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sa, sb): links of entities that no matter and field holds together. ``entities``: (cls, entity).
+def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(sa, sb): links of entities that no matter and field holds together. ``entities``: (cls, entity); ``placed``: (g, cls).
 
     An entity stands with the core that most of its spellings have. Of the entities that fit an entity, those met as often or
     oftener are its candidates; it's linked to the one met most often if all its other candidates fit that one as well.
@@ -475,9 +482,10 @@ def _wide_links(slips_: DataFrame, entities: DataFrame, classes: DataFrame) -> D
     apart = slips_.join(entities.select(F.col("cls").alias("a"), F.col("entity").alias("na")), "a").join(entities.select(F.col("cls").alias("b"), F.col("entity").alias("nb")), "b").where("na <> nb")
     apart = written(apart, "apart")
     asked = apart.select(F.col("na").alias("entity")).union(apart.select("nb")).distinct()
-    known = written(entities.join(asked, "entity", "left_semi").join(classes.select("cls", "c", "n_spellings", "n"), "cls"), "known")
-    weight = known.groupBy("entity", "c").agg(F.sum("n_spellings").alias("k"), F.sum("n").alias("n"))
-    met = weight.groupBy("entity").agg(F.max("k").alias("k"), F.sum("n").alias("met"))
+    known = written(entities.join(asked, "entity", "left_semi").join(classes.select("cls", "c", "n_spellings"), "cls"), "known")
+    weight = known.groupBy("entity", "c").agg(F.sum("n_spellings").alias("k"))
+    places = placed.join(known.select("cls", "entity"), "cls").groupBy("entity").agg(F.count("*").alias("met"))
+    met = weight.groupBy("entity").agg(F.max("k").alias("k")).join(places, "entity", "left").withColumn("met", F.coalesce("met", F.lit(0)))
     main = written(known.join(weight.join(met, ["entity", "k"]).select("entity", "c", "met"), ["entity", "c"]).select("cls", F.struct("met", "entity").alias("e")), "mains")
     fit = apart.join(main.select(F.col("cls").alias("a"), F.col("e").alias("ea")), "a").join(main.select(F.col("cls").alias("b"), F.col("e").alias("eb")), "b").select("ea", "eb").distinct()
     fit = written(fit, "fitting")
@@ -496,10 +504,9 @@ def link_spellings(met_: DataFrame) -> DataFrame:
 
     ``met_``: (g, s, spelling) as from ``spellings_of``.
     """
-    counts = met_.where("spelling IS NULL").groupBy("s").agg(F.count("*").alias("n"))
-    spellings = met_.where("spelling IS NOT NULL").select("s", "spelling").repartition("s").distinct().join(counts, "s")
+    spellings = met_.where("spelling IS NOT NULL").select("s", "spelling").distinct()
     read = written(read_spellings(spellings), "read")
-    classes = written(read.groupBy("cls", "options", "name", "c").agg(F.count("*").cast("int").alias("n_spellings"), F.sum("n").alias("n")), "classes")
+    classes = written(read.groupBy("cls", "options", "name", "c").agg(F.count("*").cast("int").alias("n_spellings")), "classes")
     links = written(grouped(classes.select("c", "name", "cls", "options", "n_spellings"), ["c"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
     # a bare surname may be any person of that surname
     persons = classes.where("options = 1").select("cls", "name", _field("name", "kind").alias("kind"), _field("name", "initial").alias("initial"), _field("name", "core").alias("core")).where("kind = 'person'")
@@ -528,7 +535,7 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     voted = together.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
     linked = components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other")
     entity = written(nodes.join(linked, "node", "left").select("s", "cls", "is_loose", F.coalesce("component", "node").alias("entity")), "entities")
-    wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes), "wide-links")
+    wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes, placed), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
     final = entity.join(merged, "entity", "left").select("s", F.coalesce("component", "entity").alias("entity"))
     return final.join(read.where("is_first").select("s", "spelling"), "s").select("spelling", "entity")

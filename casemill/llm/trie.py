@@ -202,6 +202,17 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
     return i, j, d
 
 
+def differing(a: str, b: str) -> tuple[str, str]:
+    """Two strings without what they share at both ends, which no least alignment touches."""
+    i, most = 0, min(len(a), len(b))
+    while i < most and a[i] == b[i]:
+        i += 1
+    k, most = 0, most - i
+    while k < most and a[-1 - k] == b[-1 - k]:
+        k += 1
+    return a[i : len(a) - k], b[i : len(b) - k]
+
+
 @lru_cache(100_000)
 def edits(a: str, b: str, most: int = 2) -> int:
     """The edit distance with swaps of neighbours, or ``most + 1`` if it is larger."""
@@ -209,6 +220,7 @@ def edits(a: str, b: str, most: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    a, b = differing(a, b)
     prev2: list[int] = []
     prev = list(range(len(b) + 1))
     for i, ca in enumerate(a, 1):

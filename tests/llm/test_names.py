@@ -155,7 +155,7 @@ def test_hot_shards_give_the_same_pairs(spark, monkeypatch):
 
 def test_order_is_read_as_most_names_have_it(spark):
     rows = [(s, 1) for s in ("Rao, Meera", "Rao, Thomas", "Meera K. Nair", "Meera Rao", "Rao Meera", "Thomas Meera Rao", "Usha Vale")]
-    got = {r.spelling: linking.unpacked(r.name)[2:4][::-1] for r in linking.read_spellings(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "s bigint, spelling string, n bigint")).collect()}
+    got = {r.spelling: linking.unpacked(r.name)[2:4][::-1] for r in linking.read_spellings(spark.createDataFrame([(k, s) for k, (s, _) in enumerate(rows)], "s bigint, spelling string")).collect()}
     assert got["Meera Rao"] == got["Rao Meera"] == ("meera", "rao") and got["Thomas Meera Rao"] == ("thomas", "rao") and got["Usha Vale"] == ("usha", "vale")
 
 
