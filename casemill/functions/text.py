@@ -22,7 +22,7 @@ def _strip(chars: str) -> Step:
 
 
 PRECLEAN: list[Step] = [
-    (r"(?i)Page \d+ of \d+", ""), (r"_{3,}", ""), (r"-{3,}", ""), (r"(\w+)-\n(\w+)", "$1$2"), (r"\n{2,}", "\n"), (r"[ \t]+", " "), (r"[’‘]", "'"), (r"[“”]", '"'), _strip(r"\s"),
+    (r"(?i)Page \d+ of \d+", ""), (r"_{3,}", ""), (r"-{3,}", ""), (r"(\w)-\n(\w+)", "$1$2"), (r"\n{2,}", "\n"), (r"[ \t]+", " "), (r"[’‘]", "'"), (r"[“”]", '"'), _strip(r"\s"),
 ]
 CLEAN: list[Step] = [_SPACES, (r"(?i)\bPage\s+\d+\s+of\s+\d+\b", ""), (r"\.{3,}", "..."), (r"-{3,}", "---"), _strip(r"\s")]
 WHITESPACE: list[Step] = [_SPACES, _strip(r" ,;:\n\t")]
@@ -51,7 +51,9 @@ CAPTION_CHUNK = [s for s in PARTY_CHUNK if "Crl" not in s[0]]
 JUDGE_NAME: list[Step] = [
     (r"(?i)\b(?:Hon'?ble|Honorable|Justice|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Shri|Smt\.?|Lordship|His Lordship|Her Ladyship)\b", ""), _strip(r"\s"), (r"(?i)\bJ{1,2}\.?$", ""), _SPACES, _strip(r"\s"),
 ]
-JUDGE_PREFIX: list[Step] = [(r"(?i)^Hon['’]?\s*ble\.?\s*", ""), (r"\bMr\.?\s+Justice\b", "Justice")]
+JUDGE_PREFIX: list[Step] = [(r"(?i)^Hon['’]?\s*ble\.?\s*", ""), _strip(r"\s")]
+#: What the classifier's judges lose anywhere in the name.
+JUDGE_PREDICTED: list[Step] = [(r"(?i)Hon['’]?\s*ble\.?\s*", ""), (r"\bMr\.?\s+Justice\b", "Justice")]
 # Lookaheads for the end of a role word are written as a group that is put back.
 ADVOCATE_NAME: list[Step] = [
     (r"^[/:\-\s]+", ""), (r"(?i)^(?:for\s+(?:Applicants?|Respondents?|State|the\s+(?:Appellant|Respondent|Petitioner)))\s*[:\-]?\s*", ""), (r"(?i)^(?:/\s*)?State\s*[:\-]?\s*", ""),
@@ -122,6 +124,11 @@ def whole_statute(c: Column) -> Column:
     return out
 
 
+def whole_statutes(a: Column) -> Column:
+    """A list of statutes by ``whole_statute``: blank ones left out, later ones that differ in case only too."""
+    return distinct_ci(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), whole_statute), lambda x: x.isNotNull() & (x != "")))
+
+
 def clean_advocate_name(c: Column) -> Column:
     x = apply(c, ADVOCATE_NAME)
     return F.when((F.upper(x) == "APP") | (F.length(x) < 3) | ~x.rlike("[A-Za-z]"), "").otherwise(x)

@@ -27,12 +27,34 @@ def find(df: DataFrame, id_col: str, text: str, found: Sequence[Rule]) -> DataFr
     return df.select(id_col, F.explode(matches(F.col(text), found)).alias("m")).select(id_col, "m.*")
 
 
-def places(df: DataFrame, id_col: str, text: str, names: Sequence[str], anywhere: bool) -> DataFrame:
-    """(id_col, pos, value): which of ``names`` occur; ``anywhere``: as a substring in any case, else as a word as written."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def place_values(text: Column, names: Sequence[str], anywhere: bool) -> Column:
+    """Array of (pos, value): which of ``names`` occur; ``anywhere``: as a substring in any case, else as a word as written."""
+    t = F.coalesce(text, F.lit(""))
     test = (lambda p: F.lower(t).contains(p.lower())) if anywhere else (lambda p: t.rlike(rf"\b{p}\b"))
-    hits = F.array_compact(F.array(*[F.when(test(p), F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(p).alias("value"))) for i, p in enumerate(names, 1)]))
-    return df.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
+    return F.array_compact(F.array(*[F.when(test(p), F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(p).alias("value"))) for i, p in enumerate(names, 1)]))
+
+
+def places(df: DataFrame, id_col: str, text: str, names: Sequence[str], anywhere: bool) -> DataFrame:
+    """(id_col, pos, value) of ``place_values``."""
+    return df.select(id_col, F.explode(place_values(F.col(text), names, anywhere)).alias("h")).select(id_col, "h.*")
+
+
+def named_values(text: Column) -> Column:
+    """Array of the names of two words or more on lines for a petitioner or respondent."""
+    blocks = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(?:For\s+(?:Petitioner|Respondent)[^:]*:\s*)([^\n]+)"), F.lit(1))
+    names = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+|[A-Z]\.\s?[A-Z][a-z]+"), F.lit(0))))
+    return F.filter(names, lambda v: (F.size(F.split(v, r"\s+")) >= 2) & (F.lower(v) != "information technology"))
+
+
+def kept_a(m: Column) -> Column:
+    """Does a match of the classifier's rules count? Statutes have more than two words and fewer than 100 characters."""
+    v = m["value"]
+    return (m["label"] != "STATUTE") | ((F.size(F.split(v, r"\s+")) > 2) & (F.length(v) < 100) & (F.lower(v) != "supreme court reports"))
+
+
+def kept_b(m: Column) -> Column:
+    """Does a match of the second producer count? Lawyers are no public bodies."""
+    return (m["label"] != "LAWYER") | ~m["value"].rlike(rules.NOT_A_NAMED_LAWYER)
 
 
 def bench_names(text: Column) -> Column:
@@ -59,13 +81,29 @@ def anchored_lawyers(text: Column, limit: int = 800) -> Column:
     return F.flatten(F.array(*out))
 
 
+def party_values(text: Column, found: Sequence[Rule], classifier: bool) -> Column:
+    """Array of (label, rule_no, match_no, pos, value): the parties named on labelled lines.
+
+    The classifier's rules split at commas, and, &, and drop role words; the others split at semicolons too and drop banners.
+    """
+    cut = r",\s*|\s+and\s+|\s*&\s*" + ("" if classifier else "|;")
+
+    def clean(x: Column) -> Column:
+        x = F.regexp_replace(x, r"^\s+|\s+$", "")
+        x = F.regexp_replace(x, r"^[:\-;.,]+|[:\-;.,]+$", "") if classifier else F.regexp_replace(x, r"^[\s:\-.,]+|[\s:\-.,]+$", "")
+        return F.regexp_replace(F.regexp_replace(x, rules.ROLE_WORDS, ""), r"^\s+|\s+$", "") if classifier else x
+
+    def kept(v: Column) -> Column:
+        long = F.length(v) >= 3
+        return long if classifier else long & ~(v.rlike(r"^[A-Z\s]{3,200}$") & (F.size(F.split(v, r"\s+")) > 2))
+
+    lines = F.transform(matches(text, found), lambda m: F.transform(F.split(m["value"], cut), lambda x, i: F.struct(m["label"].alias("label"), m["rule_no"].alias("rule_no"), m["match_no"].alias("match_no"), (i + 1).cast("bigint").alias("pos"), clean(x).alias("value"))))
+    return F.filter(F.flatten(lines), lambda r: kept(r["value"]))
+
+
 def party_lines(df: DataFrame, id_col: str, text: str, found: Sequence[Rule]) -> DataFrame:
-    """(id_col, label, rule_no, match_no, pos, value): the parties named on labelled lines."""
-    parts = F.split("value", r",\s*|\s+and\s+|\s*&\s*|;")
-    rows = find(df, id_col, text, found).select(id_col, "label", "rule_no", "match_no", F.posexplode(parts).alias("pos", "value"))
-    rows = rows.withColumn("value", F.regexp_replace("value", r"^[\s:\-.,]+|[\s:\-.,]+$", "")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
-    banner = F.col("value").rlike(r"^[A-Z\s]{3,200}$") & (F.size(F.split("value", r"\s+")) > 2)
-    return rows.where((F.length("value") >= 3) & ~banner)
+    """(id_col, label, rule_no, match_no, pos, value) of ``party_values``."""
+    return df.select(id_col, F.explode(party_values(F.col(text), found, found is rules.PARTY_LINES_A)).alias("p")).select(id_col, "p.*")
 
 
 def precedents(text: Column) -> Column:

@@ -27,25 +27,27 @@ def is_probable_lawyer(name: Column) -> Column:
     return (F.size(F.split(F.btrim(name), r"\s+")) >= 2) & ~name.rlike(rules.NOT_A_LAWYER) & (F.length(name) >= 4)
 
 
-def with_clean_values(e: DataFrame, key: str, raw: str) -> DataFrame:
-    """Add ``value``, cleaned by the rules of its key; rows to be left out are gone.
+def with_clean_values(e: DataFrame, key: str, raw: str, predicted: str | None = None) -> DataFrame:
+    """Add ``value``, cleaned by the rules of its key; rows to be left out are gone. ``predicted`` names a boolean column: is the
+    row the classifier's?
 
     Each step is a column of its own, and rows are dropped by exploding an array without nulls: a filter would be pushed below
     the steps and repeat them.
     """
     words = lambda c: F.size(F.split(F.btrim(c), r"\s+"))
     k = F.col(key)
+    judged = (k == "coram") & (F.col(predicted) if predicted else F.lit(False))
     e = e.withColumn("_w", text.clean_whitespace(F.col(raw)))
-    e = e.withColumn("_w", F.when(k == "statute", text.normalize_statute(F.col("_w"))).when(k == "coram", text.apply(F.col("_w"), text.JUDGE_PREFIX)).otherwise(F.col("_w")))
-    e = e.withColumn("_v", F.regexp_replace("_w", r"^[.,;:]+|[.,;:]+$", ""))
+    e = e.withColumn("_w", F.when(k == "statute", text.normalize_statute(F.col("_w"))).when(judged, text.apply(F.col("_w"), text.JUDGE_PREDICTED)).otherwise(F.col("_w")))
+    e = e.withColumn("_v", F.regexp_replace(F.btrim("_w"), r"^[.,;:]+|[.,;:]+$", ""))
     v = F.col("_v")
     lawyer = F.btrim(F.regexp_replace(v, r"(?i)\b(?:Sr\.?\s*Adv|Advocate|Adv\.|A\.S\.G\.?|A\.A\.G\.?|AOR)(?=$|\W)", ""))
-    e = e.withColumn("_c", F.when(k.isin("petitioner", "respondent"), text.clean_party_name(v)).when(k == "lawyer", lawyer).otherwise(v))
+    e = e.withColumn("_c", F.when(k.isin("petitioner", "respondent"), text.clean_party_name(v)).when(k == "lawyer", lawyer).when(k == "coram", text.apply(v, text.JUDGE_PREFIX)).otherwise(v))
     c = F.col("_c")
-    single = (words(c) == 1) & ~c.rlike("(?i)justice") & ~c.contains(".") & (F.upper(c) != c)
+    single = (words(v) == 1) & ~v.rlike("(?i)justice") & ~v.contains(".") & (F.upper(v) != v)
     keep = (
-        F.when(c == "", False)
-        .when(k == "coram", ~(c.rlike(r"(?i)^(?:and|&|-)$") | single))
+        F.when(k == "coram", ~(v.rlike(r"(?i)^(?:and|&|-)$") | single | (v == "")))
+        .when(c == "", False)
         .when(k.isin("petitioner", "respondent"), words(c) >= 2)
         .when(k == "organization", ~(c.rlike(r"^[A-Z\s]{3,200}$") & (words(c) > 2)))
         .when(k == "lawyer", is_probable_lawyer(c))
@@ -53,13 +55,22 @@ def with_clean_values(e: DataFrame, key: str, raw: str) -> DataFrame:
         .when(k == "precedent", F.length(c) >= 15)
         .otherwise(True)
     )
-    return e.withColumn("value", F.explode(F.array_compact(F.array(F.when(keep, c))))).drop("_w", "_v", "_c")
+    return e.withColumn("value", F.explode(F.array_compact(F.array(F.when(keep & (c != ""), c))))).drop("_w", "_v", "_c")
 
 
-def merge_entities(entities: DataFrame, id_col: str, provenance: str, seq: str, label: str, value: str) -> DataFrame:
-    """(id_col, key, pos, value): distinct values (in lower case) of each key in provenance order; pos counts from 1."""
-    e = entities.where(F.col(value).isNotNull()).select(id_col, label_key(F.col(label)).alias("key"), provenance_rank(F.col(provenance)).alias("rank"), F.col(seq).alias("seq"), F.col(value).alias("raw"))
-    e = with_clean_values(e, "key", "raw")
+def merge_entities(entities: DataFrame, id_col: str, provenance: str, seq: str, label: str, value: str, fuzzy: bool = False) -> DataFrame:
+    """(id_col, key, pos, value): distinct values (in lower case) of each key in provenance order; pos counts from 1.
+
+    Provenance ``regex`` or ``spacy`` is the second producer's; everything else is the classifier's. ``fuzzy`` first drops
+    precedents that are near a longer one; their order is then by length.
+    """
+    p = F.lower(F.coalesce(F.col(provenance), F.lit("")))
+    e = entities.where(F.col(value).isNotNull()).select(id_col, label_key(F.col(label)).alias("key"), provenance_rank(F.col(provenance)).alias("rank"), (~p.isin("regex", "spacy")).alias("predicted"), F.col(seq).cast("bigint").alias("seq"), F.col(value).alias("raw"))
+    if fuzzy:
+        near = e.where("key = 'precedent'").select(id_col, text.clean_whitespace(F.col("raw")).alias("raw")).where("raw <> ''")
+        near = fuzzy_distinct(near, id_col, "raw").select(id_col, F.lit("precedent").alias("key"), F.lit(0).alias("rank"), F.lit(False).alias("predicted"), F.col("pos").alias("seq"), F.col("value").alias("raw"))
+        e = e.where("key <> 'precedent'").unionByName(near)
+    e = with_clean_values(e, "key", "raw", "predicted")
     order = F.struct("rank", "seq", "raw")
     first = e.groupBy(id_col, "key", F.lower("value").alias("lower")).agg(F.min_by(F.struct("value", "rank", "seq", "raw"), order).alias("f"))
     w = Window.partitionBy(id_col, "key").orderBy("f.rank", "f.seq", "f.raw")
@@ -68,9 +79,15 @@ def merge_entities(entities: DataFrame, id_col: str, provenance: str, seq: str,
 
 def merged_map(merged: DataFrame, id_col: str) -> DataFrame:
     """One row a document: an ordered array for each of the 12 keys, and the tails of case numbers, courts and dates."""
-    per = merged.groupBy(id_col).pivot("key", rules.MERGED_KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))))
-    out = per.select(id_col, *[F.coalesce(F.transform(F.col(k), lambda x: x["value"]), F.array().cast("array<string>")).alias(k) for k in rules.MERGED_KEYS])
+    keys = [*rules.MERGED_KEYS, "case_name"]
+    per = merged.groupBy(id_col).pivot("key", keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))))
+    out = per.select(id_col, *[F.coalesce(F.transform(F.col(k), lambda x: x["value"]), F.array().cast("array<string>")).alias(k) for k in keys])
     tail = lambda k: F.slice(F.col(k), 2, F.greatest(F.size(k), F.lit(1)))
+    # parties of a case name stand in where neither side was found
+    sides = parties_from_case_name(F.try_element_at("case_name", F.lit(1))) if "case_name" in out.columns else None
+    if sides is not None:
+        none = (F.size("petitioner") == 0) & (F.size("respondent") == 0) & sides.isNotNull()
+        out = out.withColumns({k: F.when(none & (sides[k] != ""), F.array(sides[k])).otherwise(F.col(k)) for k in ("petitioner", "respondent")}).drop("case_name")
     return out.withColumns({"extra_case_numbers": tail("case_number"), "extra_courts": tail("court"), "extra_dates": tail("date")})
 
 

@@ -38,6 +38,51 @@ def resolve_fields(names: Iterable[str | None], strict: bool = False) -> list[st
     return list(dict.fromkeys(f for n in names if (f := resolve_field(n, strict))))
 
 
+def requested_names(fields: str | None) -> list[str]:
+    """The names of a comma list, without outer spaces; null or '' asks for nothing."""
+    return [x.strip() for x in fields.split(",")] if fields else []
+
+
+def named_in_list(fields: Column) -> Column:
+    """``requested_names`` as an expression."""
+    return F.when(F.length(fields) > 0, F.transform(F.split(fields, ","), lambda x: F.btrim(x))).otherwise(F.array().cast("array<string>"))
+
+
+def available(df: DataFrame) -> Column:
+    """The fields of a record that hold something, in catalogue order."""
+    return F.array_compact(F.array(*[F.when(_present(df, f), F.lit(f)) for f, _, _ in rules.FIELDS if f in df.columns]))
+
+
+def _present(df: DataFrame, f: str) -> Column:
+    c, kind = F.col(f), df.schema[f].dataType.typeName()
+    return F.coalesce(F.size(c) > 0 if kind == "array" else F.length(c) > 0 if kind == "string" else c.isNotNull(), F.lit(False))
+
+
+def requested_records(records: DataFrame, requests: DataFrame, id_col: str, names: str) -> DataFrame:
+    """(id_col, pos, field, json, error, requested, available): a row for each requested field that its record holds, in the
+    order of the request; a single row with ``error`` where none is held. Requests without a record give an error row too."""
+    held = records.select(id_col, available(records).alias("available"), F.map_from_entries(F.array(*[F.struct(F.lit(f), F.to_json(F.struct(F.col(f).alias("v")))) for f, _, _ in rules.FIELDS if f in records.columns])).alias("values"))
+    asked = F.array_distinct(F.filter(F.transform(F.col(names), resolved), lambda f: f.isNotNull()))
+    r = requests.select(id_col, F.col(names).alias("requested"), asked.alias("fields")).join(held, id_col, "left").withColumn("available", F.coalesce("available", F.array().cast("array<string>")))
+    got = F.filter("fields", lambda f: F.array_contains("available", f))
+    rows = F.when(F.size(got) > 0, F.transform(got, lambda f, i: F.struct((i + 1).cast("bigint").alias("pos"), f.alias("field"), F.try_element_at("values", f).alias("json"), F.lit(None).cast("string").alias("error")))).otherwise(F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("json"), F.lit("No matching fields").alias("error"))))
+    wrong = lambda c: F.when(F.col("e.error").isNotNull(), F.col(c)).alias(c)
+    return r.select(id_col, F.explode(rows).alias("e"), "requested", "available").select(id_col, "e.*", wrong("requested"), wrong("available"))
+
+
+def filtered_report_lines(records: DataFrame, requests: DataFrame, id_col: str, names: str) -> DataFrame:
+    """(id_col, section_no, section, item_no, line): report lines of the requested fields only, sections in request order."""
+    parts = {"for_appellants": "advocates", "for_respondent": "advocates", "background_facts": "content_info", "result": "content_info", "decision": "content_info"}
+    lines = report_lines(records, id_col)
+    of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("section")), F.col("section"))
+    asked = field_requests(requests, id_col, names)
+    from pyspark.sql import Window
+
+    got = lines.withColumn("field", of).join(asked, [id_col, "field"])
+    rank = F.dense_rank().over(Window.partitionBy(id_col).orderBy("pos", "section_no")).cast("bigint")
+    return got.select(id_col, rank.alias("section_no"), "section", "item_no", "line")
+
+
 def project(df: DataFrame, id_col: str, names: Iterable[str]) -> DataFrame:
     """The requested fields only; resolved on the driver, so the scan reads no other column."""
     return df.select(id_col, *[f for f in resolve_fields(names) if f in df.columns])

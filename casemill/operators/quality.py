@@ -6,7 +6,7 @@ the row has them. Missing, empty and null are the same. Years are compared with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The fields that count for completeness, and the weight of each group.
@@ -190,6 +190,26 @@ def batch_summary(reports: DataFrame) -> DataFrame:
     return s.select("total_documents", F.round("avg", 2).alias("average_completeness"), "total_errors", "total_warnings", F.array_join(advice, " | ").alias("batch_recommendations"))
 
 
+def individual_results(reports: DataFrame, id_col: str) -> DataFrame:
+    """(document_index, id_col, grade, completeness, errors, warnings): each record's result with its index in the order of ids.
+
+    Rows are put in ranges of ids and counted within a range; what precedes a range is a sum over a row for each partition.
+    """
+    from casemill.session import written
+
+    lean = reports.select(id_col, "grade", "completeness", F.col("n_errors").alias("errors"), F.col("n_warnings").alias("warnings"))
+    d = written(lean.repartitionByRange(id_col).withColumn("_part", F.spark_partition_id()), "individual")
+    counts = sorted((r["_part"], r["n"]) for r in d.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, rows = 0, []
+    for part, n in counts:
+        rows.append((part, before))
+        before += n
+    base = d.sparkSession.createDataFrame(rows, "_part int, _before bigint")
+    w = Window.partitionBy("_part").orderBy(id_col)
+    indexed = d.join(F.broadcast(base), "_part").withColumn("document_index", F.col("_before") + F.row_number().over(w) - 1)
+    return indexed.select("document_index", id_col, "grade", "completeness", "errors", "warnings")
+
+
 def grade_distribution(reports: DataFrame) -> DataFrame:
     """(grade_letter, n): records by the first letter of their grade."""
     return reports.groupBy(F.substring("grade", 1, 1).alias("grade_letter")).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casemill.functions import rules, text
 from casemill.functions.rules import Rule
 from casemill.functions.text import literal as q
-from casemill.operators import extracting, finding, merging, projecting, quality, segmenting, selecting
+from casemill.operators import assembly, extracting, finding, merging, projecting, quality, segmenting, selecting
 from casemill.plans.cleaning import table
 
 AS_OF = "2025-01-01"
@@ -324,7 +324,13 @@ def segment_parties(spark: SparkSession, sf: str) -> DataFrame:
     return extracting.with_parties(table(spark, sf, "segments").select("segment_id", "header"), "header").select("segment_id", "appellants", "respondents")
 
 
-_one("advocates", "header", extracting.advocates)
+def segment_advocates(spark: SparkSession, sf: str) -> DataFrame:
+    """Advocates named anywhere in a ruling: header, body and order."""
+    s = table(spark, sf, "segments").select("segment_id", F.concat_ws("\n", "header", "body", "order_text").alias("t"))
+    return s.select("segment_id", extracting.advocates(F.col("t")).alias("v")).select("segment_id", "v.*")
+
+
+query()(segment_advocates)
 _one("order_summary", "order_text", extracting.order_summary)
 _one("conclusion", "order_text", extracting.conclusion)
 _list("coram", "header", extracting.coram)
@@ -362,7 +368,7 @@ def structured_precedents(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def structured_records(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents to records."""
-    return extracting.structured_record(table(spark, sf, "documents"), "doc_id", "text", F.lit(AS_OF).cast("date"))
+    return assembly.structured_record(table(spark, sf, "documents"), "doc_id", "text", F.lit(AS_OF).cast("date"), table(spark, sf, "gazetteer"))
 
 
 # --- projection and reports --------------------------------------------------------------------------------------------------
@@ -504,6 +510,11 @@ def grade_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return quality.grade_distribution(_reports(spark, sf))
 
 
+@query(f"SELECT CAST(row_number() OVER (ORDER BY record_id) - 1 AS BIGINT) AS document_index, record_id, grade, completeness, n_errors AS errors, n_warnings AS warnings FROM {_GRADED}")
+def individual_results(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.individual_results(_reports(spark, sf), "record_id")
+
+
 # --- whole producers and the rest of the small operators ------------------------------------------------------------------------
 
 
@@ -525,16 +536,35 @@ def party_lines_header(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def entities_of_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules of the first producer over header and body: distinct values of a label in code-point order."""
-    s = table(spark, sf, "segments")
-    parts = [finding.find(s, "segment_id", c, rules.PRODUCER_A).select("segment_id", F.lit(c).alias("provenance"), "label", "value") for c in ("header", "body")]
-    return finding.distinct_values(parts[0].unionByName(parts[1]), ["segment_id", "provenance", "label"])
+    """The first producer over header and body: distinct values of a label in code-point order."""
+    return assembly.segment_entities(table(spark, sf, "segments"), "segment_id")
 
 
 @query()
 def entities_of_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules of the second producer over whole texts: ordered, distinct in lower case."""
-    return finding.first_values(finding.find(table(spark, sf, "documents"), "doc_id", "text", rules.PRODUCER_B), "doc_id")
+    """The second producer over whole texts, distinct values in order of appearance."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.array_distinct(assembly.text_values(F.col("text")))).alias("pos", "m"))
+    return d.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "m.label", "m.value")
+
+
+@query()
+def gazetteer_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return assembly.gazetteer_entities(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "gazetteer"), "label", "canonical_name")
+
+
+@query()
+def requested_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """What each request gets from the first record of its document, or the error row."""
+    s = table(spark, sf, "structured")
+    first = s.groupBy("doc_id").agg(F.min("record_id").alias("record_id"))
+    return projecting.requested_records(s.join(first, ["doc_id", "record_id"]).drop("record_id"), table(spark, sf, "field_requests"), "doc_id", "wanted_fields")
+
+
+@query()
+def filtered_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "structured")
+    first = s.groupBy("doc_id").agg(F.min("record_id").alias("record_id"))
+    return projecting.filtered_report_lines(s.join(first, ["doc_id", "record_id"]).drop("record_id"), table(spark, sf, "field_requests"), "doc_id", "wanted_fields")
 
 
 _ENTITY_ORG = text.sql("entity_text", text.ORGANIZATION)
