@@ -1,8 +1,8 @@
 """Normalise timestamps written in many formats, precisions and time zones to one unambiguous form.
 
-One regular expression takes a cleaned value apart in a single pass over Arrow batches; zones are applied in the JVM. Values without a zone are local time of their place. The place's offset history (an IANA zone) is the
-candidate with the fewest violations: clock times that, read with it, lie after the moment the row was keyed or ingested. A zone
-that is declared for the place is taken as it is, and its violations are reported.
+One regular expression takes a cleaned value apart in a single pass over Arrow batches; zones are applied in the JVM. Values
+without a zone are local time of their place. The place's offset history (an IANA zone) is estimated from all its rows as the
+candidate with the fewest violations (``estimate_zones``). A declared zone stands unless the rows speak clearly against it.
 
 Results: ``yyyy-MM`` for a month, ``yyyy-MM-dd`` for a day, ``yyyy-MM-ddTHH:mm:ss.SSSSSSZ`` for a moment. A local time that
 occurs twice is the earlier one; one that is skipped takes the offset before the change. Null, empty, unreadable and impossible
@@ -130,31 +130,66 @@ def parse_columns(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def estimate_zones(values: DataFrame, place: str, value: str, order: str, bounds: list[str], candidates: list[str], declared: str | None = None) -> DataFrame:
-    """(place, zone_name, n_values, violations, is_declared): the offset history of each place.
+HOURS_SHARE = 0.75  # of the clock times without a zone, which lie in the hours of work
+MARGIN = 0.2  # a declared zone gives way if another has fewer violations by more than this share of the place's values, and 3
 
-    ``bounds`` are UTC columns that the value can't lie after. ``candidates`` is a short list of IANA zones. Counts combine
-    before the shuffle, so one place may hold most of the rows. A zone further east never has more values after their bounds, so of
-    the zones with the fewest the one that leaves the least time to the bounds is meant. Ties go to the name.
+
+def hours_of_work(parsed: DataFrame) -> tuple[int, int]:
+    """(first hour, hours): the shortest run of hours, around the clock, that holds ``HOURS_SHARE`` of the clock times without
+    zone. Without such times the whole day."""
+    rows = parsed.where("_kind = 'clock' AND size(_offsets) = 0").groupBy(F.hour("_local").alias("h")).agg(F.count("*").alias("n")).collect()  # 24 at most
+    n = {int(r["h"]): int(r["n"]) for r in rows}
+    total = sum(n.values())
+    if not total:
+        return 0, 24
+    runs = ((k, -sum(n.get((a + i) % 24, 0) for i in range(k)), a) for k in range(1, 25) for a in range(24))
+    return next((a, k) for k, minus, a in sorted(runs) if -minus >= HOURS_SHARE * total)
+
+
+def estimate_zones(parsed: DataFrame, place: str, bounds: list[str], candidates: list[str], declared: str | None = None) -> DataFrame:
+    """(place, zone_name, n_values, violations, is_declared, estimated_zone, least_violations): the offset history of each place.
+
+    ``parsed`` comes from ``parse_columns``; ``bounds`` are UTC columns that a value can't lie after; ``candidates`` is a short
+    list of IANA zones. Violations of a zone:
+
+    - a clock time without zone that, read with it, lies after the moment the row was keyed or ingested;
+    - a moment that is known in UTC (from 1970, or with an offset) but falls, on this zone's clock, outside the hours in which the
+      clock times without zone lie: known moments and local times are of one kind, so their clocks must agree;
+    - a moment whose offset isn't UTC's and isn't the zone's at that time.
+
+    Of zones with equally few, the one that leaves the least time to the bounds is meant, then the first by name. Counts combine
+    before the shuffle, so one place may hold most of the rows. Null places and other kinds of values are left out.
     """
-    lean = values.where(F.col(place).isNotNull()).select(place, value, order, *bounds, *([declared] if declared else []))
-    parsed = parse_columns(lean, value, order).where("_kind = 'clock' AND size(_offsets) = 0")
-    bound = F.least(*[F.col(b) for b in bounds]) if len(bounds) > 1 else F.col(bounds[0])
-    late = [F.coalesce((F.to_utc_timestamp("_local", z) > bound).cast("int"), F.lit(0)) for z in candidates]
-    sums = parsed.groupBy(place).agg(
-        F.count("*").alias("n_values"),
-        *[F.sum(x).alias(f"v{i}") for i, x in enumerate(late)],
-        *[F.coalesce(F.sum(F.unix_seconds(bound) - F.unix_seconds(F.to_utc_timestamp("_local", z))), F.lit(0)).alias(f"g{i}") for i, z in enumerate(candidates)],
-        (F.max(declared) if declared else F.lit(None).cast("string")).alias("declared"),
-    )
-    options = F.array(*[F.struct((F.col("declared").eqNullSafe(F.lit(z))).alias("is_declared"), (-F.col(f"v{i}")).alias("minus"), F.col(f"g{i}").alias("gap"), F.lit(z).alias("zone_name")) for i, z in enumerate(candidates)])
-    best = F.array_sort(options, lambda a, b: F.when(a["is_declared"] != b["is_declared"], F.when(a["is_declared"], -1).otherwise(1)).when(a["minus"] != b["minus"], F.when(a["minus"] > b["minus"], -1).otherwise(1)).when(a["gap"] != b["gap"], F.when(a["gap"] < b["gap"], -1).otherwise(1)).when(a["zone_name"] < b["zone_name"], -1).otherwise(1))
-    return sums.select(place, "n_values", best[0].alias("b")).select(place, "b.zone_name", "n_values", (-F.col("b.minus")).alias("violations"), "b.is_declared")
+    first, hours = hours_of_work(parsed)
+    lean = parsed.where(F.col(place).isNotNull() & F.col("_kind").isin("clock", "epoch"))
+    known = F.size("_offsets") > 0
+    offset = F.try_element_at("_offsets", F.lit(1))
+    moment = F.timestamp_micros(F.unix_micros("_local") - F.coalesce(offset, F.lit(0)).cast("bigint") * F.lit(60_000_000))
+    lean = lean.select(place, "_local", known.alias("_known"), F.when(offset != 0, offset).alias("_off"), moment.alias("_utc"), F.least(*[F.col(b) for b in bounds]).alias("_bound") if len(bounds) > 1 else F.col(bounds[0]).alias("_bound"), (F.col(declared) if declared else F.lit(None).cast("string")).alias("_declared"))
+    sums = [F.count("*").alias("n_values"), F.max("_declared").alias("declared")]
+    for i, z in enumerate(candidates):
+        there = F.from_utc_timestamp("_utc", F.lit(z))
+        late = F.coalesce((F.to_utc_timestamp("_local", F.lit(z)) > F.col("_bound")).cast("int"), F.lit(0))
+        odd = (F.pmod(F.hour(there) - first, F.lit(24)) >= hours).cast("int")
+        other = F.coalesce(((F.unix_seconds(there) - F.unix_seconds("_utc")) != F.col("_off") * 60).cast("int"), F.lit(0))
+        sums.append(F.sum(F.when(F.col("_known"), odd + other).otherwise(late)).alias(f"v{i}"))
+        sums.append(F.coalesce(F.sum(F.when(~F.col("_known"), F.unix_seconds("_bound") - F.unix_seconds(F.to_utc_timestamp("_local", F.lit(z))))), F.lit(0)).alias(f"g{i}"))
+    per = lean.groupBy(place).agg(*sums)
+    options = F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.col(f"g{i}").alias("gap"), F.lit(z).alias("zone_name")) for i, z in enumerate(candidates)])
+    best = F.array_min(options)
+    own = F.try_element_at(F.filter(options, lambda o: o["zone_name"] == F.col("declared")), F.lit(1))
+    stands = F.coalesce(own["violations"] - best["violations"] <= F.greatest(F.lit(3), MARGIN * F.col("n_values")), F.lit(False))
+    taken = per.select(place, "n_values", best.alias("best"), F.when(stands, own).otherwise(best).alias("t"), F.col("declared"))
+    return taken.select(place, "t.zone_name", "n_values", "t.violations", F.col("t.zone_name").eqNullSafe(F.col("declared")).alias("is_declared"), F.col("best.zone_name").alias("estimated_zone"), F.col("best.violations").alias("least_violations"))
 
 
 def normal_form(df: DataFrame, value: str, order: str, zone: str) -> DataFrame:
     """Add ``normal_form`` for ``value``; ``zone`` is the column with the place's IANA zone (null: unknown)."""
-    p = parse_columns(df, value, order)
+    return with_normal_form(parse_columns(df, value, order), zone)
+
+
+def with_normal_form(p: DataFrame, zone: str) -> DataFrame:
+    """``normal_form`` for rows of ``parse_columns``, whose columns go."""
     tz = F.col(zone)
     shifted = lambda m: F.timestamp_micros(F.unix_micros("_local") - m.cast("bigint") * F.lit(60_000_000))
     own = F.filter("_offsets", lambda m: F.from_utc_timestamp(shifted(m), tz) == F.col("_local"))  # what the place's zone observes then

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from casemill.operators.timestamps import estimate_zones, normal_form
+from casemill.operators.timestamps import estimate_zones, normal_form, parse_columns
 
 CASES = [
     ("15/03/2025", None, "dmy", "2025-03-15"), ("03/15/2025", None, "dmy", "2025-03-15"), ("04/05/2010", "Europe/London", "mdy", "2010-04-05"), ("04/05/2010", None, None, None), ("05/05/2010", None, None, "2010-05-05"),
@@ -23,17 +23,33 @@ def test_cases(spark):
     assert normal_form(df.limit(0), "value", "ord", "zone").count() == 0
 
 
+def zones(spark, rows, candidates, declared=None):
+    df = spark.createDataFrame(rows, "place string, value string, ord string, keyed string, declared string").selectExpr("place", "value", "ord", "CAST(keyed AS TIMESTAMP) AS keyed", "declared")
+    return [(r.place, r.zone_name, r.violations, r.is_declared, r.estimated_zone) for r in estimate_zones(parse_columns(df, "value", "ord"), "place", ["keyed"], candidates, declared).collect()]
+
+
 @pytest.mark.parametrize("declared", [None, "Europe/London"])
 def test_zone_is_the_one_with_fewest_violations(spark, declared):
     # judgments at 18:00 in Kolkata are keyed at 12:45 UTC; read as London time they would lie in the future
     rows = [("R1", f"{d:02d}.06.2012 18:00", "dmy", f"2012-06-{d:02d} 12:45:00", declared) for d in range(1, 20)] + [(None, "01.06.2012 18:00", "dmy", "2012-06-01 12:45:00", None)]
-    df = spark.createDataFrame(rows, "place string, value string, ord string, keyed string, declared string").selectExpr("place", "value", "ord", "CAST(keyed AS TIMESTAMP) AS keyed", "declared")
-    got = estimate_zones(df, "place", "value", "ord", ["keyed"], ["Europe/London", "Asia/Kolkata"], "declared").collect()
-    assert [(r.place, r.zone_name, r.violations, r.is_declared) for r in got] == [("R1", "Asia/Kolkata", 0, False) if declared is None else ("R1", "Europe/London", 19, True)]
+    assert zones(spark, rows, ["Europe/London", "Asia/Kolkata"], "declared") == [("R1", "Asia/Kolkata", 0, False, "Asia/Kolkata")]
+    # two rows that speak against a declared zone are too few
+    rows = [("R1", f"{d:02d}.06.2012 18:00", "dmy", "2012-06-%02d %s" % (d, "12:45:00" if d < 3 else "20:00:00"), "Europe/London") for d in range(1, 20)]
+    assert zones(spark, rows, ["Europe/London", "Asia/Kolkata"], "declared") == [("R1", "Europe/London", 2, True, "Asia/Kolkata")]
 
 
 def test_zone_east_of_the_true_one_is_not_taken(spark):
-    rows = [("R1", f"{d:02d}.06.2012 18:00", "dmy", f"2012-06-{d:02d} 12:45:00") for d in range(1, 20)]
-    df = spark.createDataFrame(rows, "place string, value string, ord string, keyed string").selectExpr("place", "value", "ord", "CAST(keyed AS TIMESTAMP) AS keyed")
-    got = estimate_zones(df, "place", "value", "ord", ["keyed"], ["Asia/Hong_Kong", "Asia/Dhaka", "Asia/Kolkata", "Europe/London"]).collect()
-    assert [(r.zone_name, r.violations) for r in got] == [("Asia/Kolkata", 0)]
+    rows = [("R1", f"{d:02d}.06.2012 18:00", "dmy", f"2012-06-{d:02d} 12:45:00", None) for d in range(1, 20)]
+    assert zones(spark, rows, ["Asia/Hong_Kong", "Asia/Dhaka", "Asia/Kolkata", "Europe/London"]) == [("R1", "Asia/Kolkata", 0, False, "Asia/Kolkata")]
+
+
+def test_zone_from_known_moments(spark):
+    # clocks without zone run from 9 to 18; moments known in UTC do so only on the clock of the true zone, on both sides of the change of summer time
+    local = [("R1", f"{d:02d}.0{m}.2012 {h:02d}:30", "dmy", "2013-01-01 00:00:00", None) for m in (1, 7) for d, h in enumerate(range(9, 19), 1)]
+    known = [("R1", f"2012-0{m}-{d:02d}T{h + (5 if m == 1 else 4):02d}:30:00Z", "dmy", "2013-01-01 00:00:00", None) for m in (1, 7) for d, h in enumerate(range(9, 19), 1)]
+    candidates = ["America/Chicago", "America/New_York", "Asia/Singapore", "Europe/London"]
+    assert zones(spark, local + known, candidates)[0][1:3] == ("America/New_York", 0)
+    # an explicit offset speaks for the zones that observe it then
+    offsets = [("R2", "2012-07-01T12:30:00-0500", "dmy", "2013-01-01 00:00:00", None)] * 3
+    assert ("R2", "America/Chicago", 0) in [z[:3] for z in zones(spark, local + offsets, candidates)]
+    assert zones(spark, [], candidates) == []
