@@ -130,20 +130,15 @@ def parse_columns(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-HOURS_SHARE = 0.75  # of the clock times without a zone, which lie in the hours of work
+BUSY = 2 / 3  # an hour of work has at least this share of the clock times that the busiest hour has
 MARGIN = 0.2  # a declared zone gives way if another has fewer violations by more than this share of the place's values, and 3
 
 
-def hours_of_work(parsed: DataFrame) -> tuple[int, int]:
-    """(first hour, hours): the shortest run of hours, around the clock, that holds ``HOURS_SHARE`` of the clock times without
-    zone. Without such times the whole day."""
+def hours_of_work(parsed: DataFrame) -> list[int]:
+    """The hours in which most clock times without zone lie (see ``BUSY``); without such times the whole day."""
     rows = parsed.where("_kind = 'clock' AND size(_offsets) = 0").groupBy(F.hour("_local").alias("h")).agg(F.count("*").alias("n")).collect()  # 24 at most
-    n = {int(r["h"]): int(r["n"]) for r in rows}
-    total = sum(n.values())
-    if not total:
-        return 0, 24
-    runs = ((k, -sum(n.get((a + i) % 24, 0) for i in range(k)), a) for k in range(1, 25) for a in range(24))
-    return next((a, k) for k, minus, a in sorted(runs) if -minus >= HOURS_SHARE * total)
+    most = max((r["n"] for r in rows), default=0)
+    return sorted(r["h"] for r in rows if r["n"] >= BUSY * most) or list(range(24))
 
 
 def estimate_zones(parsed: DataFrame, place: str, bounds: list[str], candidates: list[str], declared: str | None = None) -> DataFrame:
@@ -160,7 +155,7 @@ def estimate_zones(parsed: DataFrame, place: str, bounds: list[str], candidates:
     Of zones with equally few, the one that leaves the least time to the bounds is meant, then the first by name. Counts combine
     before the shuffle, so one place may hold most of the rows. Null places and other kinds of values are left out.
     """
-    first, hours = hours_of_work(parsed)
+    hours = hours_of_work(parsed)
     lean = parsed.where(F.col(place).isNotNull() & F.col("_kind").isin("clock", "epoch"))
     known = F.size("_offsets") > 0
     offset = F.try_element_at("_offsets", F.lit(1))
@@ -170,7 +165,7 @@ def estimate_zones(parsed: DataFrame, place: str, bounds: list[str], candidates:
     for i, z in enumerate(candidates):
         there = F.from_utc_timestamp("_utc", F.lit(z))
         late = F.coalesce((F.to_utc_timestamp("_local", F.lit(z)) > F.col("_bound")).cast("int"), F.lit(0))
-        odd = (F.pmod(F.hour(there) - first, F.lit(24)) >= hours).cast("int")
+        odd = (~F.hour(there).isin(hours)).cast("int")
         other = F.coalesce(((F.unix_seconds(there) - F.unix_seconds("_utc")) != F.col("_off") * 60).cast("int"), F.lit(0))
         sums.append(F.sum(F.when(F.col("_known"), odd + other).otherwise(late)).alias(f"v{i}"))
         sums.append(F.coalesce(F.sum(F.when(~F.col("_known"), F.unix_seconds("_bound") - F.unix_seconds(F.to_utc_timestamp("_local", F.lit(z))))), F.lit(0)).alias(f"g{i}"))
