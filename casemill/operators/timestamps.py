@@ -131,7 +131,7 @@ def parse_columns(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 BUSY = 2 / 3  # an hour of work has at least this share of the clock times that the busiest hour has
-MARGIN = 0.2  # a declared zone gives way if another has fewer violations by more than this share of the place's values, and 3
+MARGIN = 0.2  # a declared zone gives way if another has fewer violations by more than this share of the place's values, and 5
 
 
 def hours_of_work(parsed: DataFrame) -> list[int]:
@@ -173,7 +173,7 @@ def estimate_zones(parsed: DataFrame, place: str, bounds: list[str], candidates:
     options = F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.col(f"g{i}").alias("gap"), F.lit(z).alias("zone_name")) for i, z in enumerate(candidates)])
     best = F.array_min(options)
     own = F.try_element_at(F.filter(options, lambda o: o["zone_name"] == F.col("declared")), F.lit(1))
-    stands = F.coalesce(own["violations"] - best["violations"] <= F.greatest(F.lit(3), MARGIN * F.col("n_values")), F.lit(False))
+    stands = F.coalesce(own["violations"] - best["violations"] <= F.greatest(F.lit(5), MARGIN * F.col("n_values")), F.lit(False))
     taken = per.select(place, "n_values", best.alias("best"), F.when(stands, own).otherwise(best).alias("t"), F.col("declared"))
     return taken.select(place, "t.zone_name", "n_values", "t.violations", F.col("t.zone_name").eqNullSafe(F.col("declared")).alias("is_declared"), F.col("best.zone_name").alias("estimated_zone"), F.col("best.violations").alias("least_violations"))
 
