@@ -1,20 +1,23 @@
 """Mix sources to target shares of tokens.
 
 Each source's documents, in a pseudorandom order, form one stream of tokens that is cut into blocks of fixed length. The mixture
-is as large as the shares and repeat caps allow. Output shards draw their counts of each source at random (multinomial draws
-without replacement from the totals, so the totals are met exactly); slot numbers map through a pseudorandom permutation of the
-source's block numbers, a new one for every repetition, and blocks are joined by number.
+is as large as the shares and repeat caps allow. Every slot of every output shard draws its source by the shares, so the counts of a
+shard are multinomial. Over all shards such counts miss the planned totals by about their square root; the slots drawn beyond a
+source's total are given to the sources that fell short, so the totals are met to a block. A slot's number among those of its source
+maps through a pseudorandom permutation of the source's block numbers, a new one for every repetition, and blocks are joined by
+number. The driver holds a few numbers for each source, whatever the number of shards.
 
 Offsets come from two levels of sums (buckets of documents, then within a bucket), so a source with a third of all rows is never
 in one task. Sources without a target, and documents without source or tokens, take no part. The last, short block of a stream
-is left out of the mixture, as blocks have one length; ``mix_shares`` reports the shares reached.
+is left out of the mixture, as blocks have one length. The shares report counts what the mixture's rows hold, and the tokens of each
+source that no row holds: blocks that weren't drawn, the short block, sources without a whole block.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 512  # tokens
@@ -57,14 +60,50 @@ def _permutation(n: int, seed: int, epoch: int, source: str) -> tuple[int, int]:
     return a, int(rng.integers(0, n))
 
 
+def draw(spark: SparkSession, planned: dict[str, int], seed: int = SEED) -> DataFrame:
+    """(shard, slot, source, q): the source of every slot and its number among the slots of that source, 0 .. planned - 1.
+
+    Slots draw independently; the counts of shards are summed in two levels (shards, then groups of them) to number the slots.
+    """
+    slots = sum(planned.values())
+    names = [s for s in planned if planned[s]]
+    if not slots:
+        return spark.createDataFrame([], "shard int, slot int, source string, q bigint")
+    borders, at = [], 0
+    for s in names:
+        at += planned[s]
+        borders.append((s, at))
+    ids = spark.range(slots).select(F.floor(F.col("id") / SHARD_SLOTS).cast("int").alias("shard"), (F.col("id") % SHARD_SLOTS + 1).cast("int").alias("slot"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(slots)).alias("u"))
+    source = F.lit(names[-1])
+    for s, end in reversed(borders[:-1]):
+        source = F.when(F.col("u") < end, s).otherwise(source)
+    ids = ids.select("shard", "slot", source.alias("source"))
+    per = ids.groupBy("shard", "source").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("shard") / 1_000))
+    parts = per.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    got = {r["source"]: int(r["n"]) for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    before = Window.orderBy("part").partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.join(parts, ["part", "source"]).select("shard", "source", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("first"))
+    ids = ids.join(per, ["shard", "source"]).withColumn("q", F.col("first") + F.row_number().over(Window.partitionBy("shard", "source").orderBy("slot")) - 1)
+    # slots beyond a source's total, numbered through all sources, go to the sources that are short
+    table = lambda pairs: F.create_map(*[F.lit(x) for s, n in pairs for x in (s, int(n))])
+    extra = [max(0, got.get(s, 0) - planned[s]) for s in names]
+    short = [max(0, planned[s] - got.get(s, 0)) for s in names]
+    shift = table((s, planned[s] - sum(extra[:k])) for k, s in enumerate(names))
+    gaps = F.array(*[F.struct(F.lit(sum(short[:k])).cast("bigint").alias("a"), F.lit(sum(short[: k + 1])).cast("bigint").alias("b"), F.lit(s).alias("source"), F.lit(got.get(s, 0)).cast("bigint").alias("n")) for k, s in enumerate(names)])
+    ids = ids.withColumn("_r", F.when(F.col("q") >= table((s, planned[s]) for s in names)[F.col("source")], F.col("q") - shift[F.col("source")]))
+    ids = ids.withColumn("_to", F.when(F.col("_r").isNotNull(), F.try_element_at(F.filter(gaps, lambda g: (g["a"] <= F.col("_r")) & (F.col("_r") < g["b"])), F.lit(1))))
+    return ids.select("shard", "slot", F.coalesce("_to.source", "source").alias("source"), F.coalesce(F.col("_to.n") + F.col("_r") - F.col("_to.a"), "q").alias("q"))
+
+
 def mixture(counts: DataFrame, targets: list[tuple[str, float, int]], block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares).
 
     mixture: (shard, slot, source, block_no, repetition, id, token_from, token_to), one row for each document piece of a slot.
-    shares: (source, target_share, actual_share, n_blocks, blocks_drawn, repetitions). ``targets`` is a small fixed table.
+    shares: (source, target_share, actual_share, mixture_tokens, source_tokens, unused_tokens, n_blocks, blocks_drawn, repetitions),
+    the shares and tokens summed over the mixture's rows. ``targets`` is a small fixed table.
     """
-    import numpy as np
-
     from casemill.session import written
 
     spark = counts.sparkSession
@@ -72,20 +111,7 @@ def mixture(counts: DataFrame, targets: list[tuple[str, float, int]], block: int
     counts = written(counts.where(F.col("source").isin(named) & (F.col("n_tokens") > 0)).select("id", "source", "n_tokens"), "mix-counts")
     totals = {r["source"]: int(r["t"]) for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # a row for each target
     drawn = plan(totals, targets, block)
-    slots = sum(d for _, d in drawn.values())
-    shards = max(1, -(-slots // SHARD_SLOTS))
-    # draws of each shard: multinomial without replacement; a row of few integers for each shard of SHARD_SLOTS blocks
-    rng = np.random.default_rng(seed)
-    left = np.array([drawn[s][1] for s in named], dtype=np.int64)
-    before = np.zeros(len(named), dtype=np.int64)
-    rows = []
-    for k in range(shards):
-        size = min(SHARD_SLOTS, int(left.sum()))
-        got = rng.multivariate_hypergeometric(left, size, method="marginals") if size else np.zeros(len(named), dtype=np.int64)
-        rows += [(k, s, int(before[i]), int(got[i])) for i, s in enumerate(named) if got[i]]
-        left, before = left - got, before + got
-    draws = spark.createDataFrame(rows, "shard int, source string, first bigint, n bigint")
-    taken = draws.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("q"))
+    taken = draw(spark, {s: drawn[s][1] for s in named}, seed)
     repeats = {s: -(-d // max(1, b)) for s, (b, d) in drawn.items()}
     perms = [(s, e, *_permutation(drawn[s][0], seed, e, s)) for s in named if drawn[s][0] for e in range(repeats[s])]
     sizes = F.create_map(*[x for s in named for x in (F.lit(s), F.lit(drawn[s][0]).cast("bigint"))])
@@ -95,7 +121,6 @@ def mixture(counts: DataFrame, targets: list[tuple[str, float, int]], block: int
     taken = taken.withColumn("size", sizes[F.col("source")]).withColumn("repetition", F.floor(F.col("q") / F.col("size")).cast("int")).withColumn("i", F.col("q") % F.col("size"))
     k = key(F.col("source"), F.col("repetition"))
     taken = taken.withColumn("block_no", ((ma[k] * F.col("i").cast("decimal(20,0)") + mb[k]) % F.col("size").cast("decimal(20,0)")).cast("bigint")) if perms else taken.withColumn("block_no", F.lit(None).cast("bigint"))
-    taken = taken.withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("source", "q", F.lit(seed)), "source", "q")))
     at = offsets(counts, seed)
     first, last = F.floor(F.col("token_at") / block), F.floor((F.col("token_at") + F.col("n_tokens") - 1) / block)
     parts = at.select("id", "source", "n_tokens", "token_at", F.explode(F.sequence(first, last)).alias("block_no")).select(
@@ -106,5 +131,11 @@ def mixture(counts: DataFrame, targets: list[tuple[str, float, int]], block: int
         F.least(F.col("n_tokens"), (F.col("block_no") + 1) * block - F.col("token_at")).alias("token_to"),
     )
     mixed = taken.join(parts, ["source", "block_no"]).select("shard", "slot", "source", "block_no", "repetition", "id", "token_from", "token_to")
-    shares = spark.createDataFrame([(s, float(w), (drawn[s][1] / slots) if slots else 0.0, drawn[s][0], drawn[s][1], int(repeats[s])) for s, w, _ in targets], "source string, target_share double, actual_share double, n_blocks bigint, blocks_drawn bigint, repetitions int")
-    return mixed, shares
+    has = mixed.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("tokens"))
+    planned = spark.createDataFrame([(s, float(w), int(totals.get(s, 0)), drawn[s][0], drawn[s][1], int(repeats[s])) for s, w, _ in targets], "source string, target_share double, source_tokens bigint, n_blocks bigint, blocks_drawn bigint, repetitions int")
+    every = mixed.agg(F.sum(F.col("token_to") - F.col("token_from")).alias("all_tokens"))
+    shares = planned.join(has, "source", "left").join(F.broadcast(every), F.lit(True))
+    tokens = F.coalesce("tokens", F.lit(0))
+    # a repetition begins when all blocks of the one before are used, so distinct blocks are those drawn, up to all
+    unused = F.col("source_tokens") - F.least("blocks_drawn", "n_blocks") * block
+    return mixed, shares.select("source", "target_share", F.coalesce(tokens / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), tokens.alias("mixture_tokens"), "source_tokens", unused.alias("unused_tokens"), "n_blocks", "blocks_drawn", "repetitions")

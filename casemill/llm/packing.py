@@ -2,8 +2,10 @@
 
 Dynamic programming over the global length histogram chooses bucket boundaries that minimise padding. Items longer than the
 capacity are cut into full containers and a rest; nothing else is split. Shards of items (by hash, so that each has the whole mix
-of lengths) are packed independently by best-fit decreasing: from the longest item down, each goes to the tightest open container
-that it fits. The buckets label the rows and don't change the containers.
+of lengths) are packed independently, from the bucket of the longest items down. The items of a bucket first use up what the
+batches of longer buckets left free; the rest of them forms token-budget batches of its own, each item in the fullest batch of the
+bucket that has room for it. A bucket's last, unfinished batches are thus completed by shorter buckets. The boundaries decide which
+batches an item may join: with other boundaries other containers come out.
 
 Only (id, length) pairs move; a shard holds about ``SHARD`` items, so no task grows with the data. Items without tokens are left
 out; repeated rows are items of their own; an empty table gives no containers.
@@ -51,33 +53,55 @@ def boundaries(histogram: dict[int, int], capacity: int, buckets: int = BUCKETS)
     return sorted(out)
 
 
+class _Open:
+    """Open containers by free tokens; the tightest that an item fits is taken."""
+
+    def __init__(self, capacity: int) -> None:
+        self.room: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.free: list[int] = []  # sorted free sizes that have containers
+
+    def take(self, n: int) -> tuple[int, int] | None:
+        """(container, its free tokens) with the least room for ``n``; it's open no more."""
+        i = bisect.bisect_left(self.free, n)
+        if i == len(self.free):
+            return None
+        f = self.free[i]
+        c = self.room[f].pop()
+        if not self.room[f]:
+            self.free.pop(i)
+        return c, f
+
+    def put(self, c: int, free: int) -> None:
+        if free:
+            if not self.room[free]:
+                bisect.insort(self.free, free)
+            self.room[free].append(c)
+
+
 def pack_shard(items: list[tuple[int, int]], capacity: int, tops: list[int]) -> list[int]:
     """Container number of each (order key, length) item; lengths are at most the capacity."""
     by_bucket: dict[int, list[int]] = {}
     for k, (_, n) in enumerate(items):
         by_bucket.setdefault(bisect.bisect_left(tops, n), []).append(k)
     where = [0] * len(items)
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]  # open containers by free tokens
-    free: list[int] = []  # sorted free sizes that have containers
+    left = _Open(capacity)  # what longer buckets left free
     made = 0
     for b in sorted(by_bucket, reverse=True):
+        own = _Open(capacity)
         for k in sorted(by_bucket[b], key=lambda k: (-items[k][1], items[k][0])):
             n = items[k][1]
-            i = bisect.bisect_left(free, n)
-            if i < len(free):
-                f = free[i]
-                c = room[f].pop()
-                if not room[f]:
-                    free.pop(i)
+            for batches in (left, own):
+                if got := batches.take(n):
+                    where[k] = got[0]
+                    batches.put(got[0], got[1] - n)
+                    break
             else:
-                f, c = capacity, made
+                where[k] = made
+                own.put(made, capacity - n)
                 made += 1
-            where[k] = c
-            left = f - n
-            if left:
-                if not room[left]:
-                    bisect.insort(free, left)
-                room[left].append(c)
+        for f in own.free:
+            for c in own.room[f]:
+                left.put(c, f)
     return where
 
 
@@ -133,3 +157,9 @@ def fill_containers(lengths: DataFrame, capacity: int, buckets: int = BUCKETS) -
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens and the share of the capacity that is used."""
     return packed.agg(F.countDistinct("container_id").alias("n_containers"), F.count("*").alias("n_parts"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")).withColumn("fill", F.col("n_tokens") / F.nullif(F.col("n_containers") * capacity, F.lit(0)))
+
+
+def bucket_report(packed: DataFrame) -> DataFrame:
+    """(bucket_top, n_parts, n_tokens, padding, padding_share) of each bucket: what padding every item to its top would add."""
+    per = packed.groupBy("bucket_top").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("bucket_top") - F.col("n_tokens")).alias("padding"))
+    return per.withColumn("padding_share", F.col("padding") / (F.col("n_tokens") + F.col("padding")))

@@ -84,6 +84,10 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf), _limit(spark, sf, "pack_capacity"))
 
 
+def p8_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.bucket_report(p8_containers(spark, sf))
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = [(r["source_name"], r["target_share"], r["max_repeats"]) for r in _t(spark, sf, "mix_targets").orderBy("source_name").collect()]
     return mixing.mixture(tokens.count_tokens(_t(spark, sf, "documents"), "doc_id", "text", ["source"]), targets)
@@ -104,7 +108,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_paragraphs": p1_paragraphs, "p3_found": p3_found, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p6_found": p6_found, "p6_pieces": p6_pieces,
-    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_buckets": p8_buckets, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found,
 }
 _STORED = "SELECT record_id, matter_no, 'case_name' AS field_name, case_name AS stored FROM structured WHERE case_name IS NOT NULL UNION ALL SELECT record_id, matter_no, 'coram', array_to_string(list_transform(coram, lambda x: coalesce(x, chr(2))), chr(1)) FROM structured WHERE coram IS NOT NULL"
 _PLAIN = f"SELECT *, {canonical.canonical_sql('stored')} AS plain FROM ({_STORED}) WHERE matter_no IS NOT NULL"

@@ -33,6 +33,29 @@ def test_shard_fits(sizes):
     assert len(load) <= 2 * sum(sizes) / 100 + 1  # no two containers that could be one
 
 
+def test_other_boundaries_give_other_containers():
+    rng = np.random.default_rng(4)
+    items = list(enumerate(np.minimum(99, 1 + rng.exponential(18, 2_000)).astype(int).tolist()))
+    loads = lambda where: sorted(Counter({c: sum(items[k][1] for k, x in enumerate(where) if x == c) for c in set(where)}).values())
+    packed = [packing.pack_shard(items, 100, tops) for tops in ([100], [20, 100], packing.boundaries(Counter(n for _, n in items), 100, 8))]
+    groups = [{frozenset(k for k, x in enumerate(w) if x == c) for c in set(w)} for w in packed]
+    assert groups[0] != groups[1] and groups[1] != groups[2] and groups[0] != groups[2]
+    for w in packed:
+        assert max(loads(w)) <= 100 and sum(n for _, n in items) / (100 * len(set(w))) > 0.97
+
+
+def test_draws_are_multinomial_and_meet_the_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 200)
+    planned = {"a": 6_000, "b": 3_000, "none": 0, "c": 1_003}
+    got = mixing.draw(spark, planned).collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got) == 10_003
+    for s, n in planned.items():
+        assert sorted(r.q for r in got if r.source == s) == list(range(n))
+    a = np.array([sum(r.source == "a" for r in got if r.shard == k) for k in range(50)])
+    assert abs(a.mean() - 120) < 6 and 4 < a.std() < 10.5  # binomial: 6.9
+    assert mixing.draw(spark, {"a": 0}).count() == 0
+
+
 def test_fill_containers(spark):
     rows = [(i, n) for i, n in enumerate([0, 1, 2047, 2048, 2049, 5000, 700, 700, 648, 1])] + [(9, 1)]
     packed = packing.fill_containers(spark.createDataFrame(rows, "id int, n_tokens bigint").withColumn("shard", F.lit(1)), 2048)
@@ -61,6 +84,10 @@ def test_mixture(spark):
     s = {r.source: r for r in shares.collect()}
     assert abs(s["small"].actual_share - 0.6) < 0.01 and s["small"].repetitions <= 3 and s["big"].repetitions == 1
     got = mixed.collect()
+    for k in s:
+        assert s[k].mixture_tokens == sum(r.token_to - r.token_from for r in got if r.source == k)
+        used = {(r.id, t) for r in got if r.source == k for t in range(r.token_from, r.token_to)}
+        assert s[k].unused_tokens == s[k].source_tokens - len(used)
     slots = defaultdict(int)
     for r in got:
         slots[r.shard, r.slot] += r.token_to - r.token_from

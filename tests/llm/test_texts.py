@@ -98,6 +98,19 @@ def test_cuts_fall_on_paragraphs():
     assert {k for _, k in splitting.cuts(t, 250, 20)} == {"paragraph"}
 
 
+def test_no_piece_reaches_from_a_section_into_the_next():
+    sentence = "The court considered the matter at length and found for the party. "
+    parts = ["Facts\n" + sentence * 20 + "\n", "Held\n" + sentence * 5 + "\n", "ORDER\n" + sentence * 9 + "\n", "Costs\n" + sentence * 2 + "\n"]
+    text = "".join(parts)
+    borders = [sum(map(len, parts[:k])) for k in range(1, 4)]
+    starts = [0, *(a for a, _ in splitting.cuts(text, 1_000, 60)), len(text)]
+    # the second section fits by itself, so the rest of the first isn't packed with it; neighbours that fit together are one piece
+    assert borders[0] in starts and borders[1] in starts
+    for a, b in zip(starts, starts[1:]):
+        inside = [x for x in borders if a < x < b]
+        assert b - a <= 940 and all(a in [0, *borders] for _ in inside)
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (4, "short"), (4, "short")], "id int, text string").withColumn("piece", F.lit("clash"))
     got = Counter(r.id for r in splitting.split_texts(df, "id", "text", 4000, 200).collect())
