@@ -6,6 +6,8 @@ rule's definition gives for these texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from casemill.functions import rules
 from casemill.functions.text import literal as q
 from casemill.operators import assembly, extracting, finding, merging, projecting, segmenting, selecting
 from casemill.plans.extraction import find_sql
+from casemill.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -114,6 +117,32 @@ _listed("judgment_advocates", _of_text(lambda t: F.coalesce(extracting.advocates
 _listed("judgment_conclusion", _of_segment("order_text", lambda t: F.array(extracting.conclusion(t))), [(1, 1, "the appeal stands allowed with no order as to costs in this Court."), (2, 1, "Conclusion not found"), (3, 1, "Conclusion not found"), (4, 1, "Conclusion not found")])
 
 
+_listed("judgment_bench_names", _of_text(finding.bench_names), [(1, 1, "Hon'ble Mr. Justice A. B. Rao"), (1, 2, "Hon'ble Ms. Justice C. Sen"), (2, 1, "RAO BAHADUR AND SEN GUPTA")])
+_listed("judgment_precedents", _of_text(finding.precedents), [(1, 1, "The prosecution relied on Mohan Singh v. State of Bihar")])
+_listed("judgment_background_facts", _of_segment("body", lambda t: F.transform(extracting.background_facts(t), lambda x: F.substring(x, 1, 30))), [(1, 1, "The appellant was convicted un"), (2, 1, "Heard the learned counsel. Jus")])
+
+
+@query("judgment_captions", values([(1, "RAM LAL AND SONS v. STATE OF MADHYA PRADESH", "RAM LAL|SONS", "STATE OF MADHYA PRADESH"), (2, None, "Ram Lal", ""), (3, None, "", ""), (4, None, "", "")], "doc_id, case_name, appellants, respondents"))
+def _(spark: SparkSession) -> DataFrame:
+    """Captions and parties of headers."""
+    s = segmenting.split_segments(texts(spark), "text")
+    d = extracting.with_parties(extracting.with_case_name(s, "header"), "header")
+    return d.select("doc_id", "case_name", F.array_join("appellants", "|").alias("appellants"), F.array_join("respondents", "|").alias("respondents"))
+
+
+@query("judgment_orders", values([(1, "Appeal Is Allowed", "The appeal is allowed and the ", 0), (2, "Not found", "", 0), (3, "Not found", "", 0), (4, "Not found", "", 0)], "doc_id, result, decision, n_directions"))
+def _(spark: SparkSession) -> DataFrame:
+    o = extracting.order_summary(F.col("order_text"))
+    return segmenting.split_segments(texts(spark), "text").select("doc_id", o["result"].alias("result"), F.substring(o["decision"], 1, 30).alias("decision"), F.size(o["directions"]).cast("bigint").alias("n_directions"))
+
+
+@query("judgment_party_lines_text", values([
+    (1, "PETITIONER", 1, 1, 1, "Ram Lal"), (1, "PETITIONER", 1, 1, 2, "Sohan Lal"), (1, "PETITIONER", 1, 1, 3, "Mohan Das"), (1, "RESPONDENT", 3, 1, 1, "State of Madhya Pradesh"), (1, "RESPONDENT", 3, 1, 2, "Union Home Secretary"), (2, "PETITIONER", 1, 1, 1, "Ram Lal"),
+], "doc_id, label, rule_no, match_no, pos, value"))
+def _(spark: SparkSession) -> DataFrame:
+    return finding.party_lines(texts(spark), "doc_id", "text", rules.PARTY_LINES_B)
+
+
 @query("judgment_party_lines", values([
     (1, "PETITIONER", 1, 1, 1, "Ram Lal; Sohan Lal"), (1, "PETITIONER", 1, 1, 2, "Mohan Das"), (1, "RESPONDENT", 2, 1, 1, "State of Madhya Pradesh"), (1, "RESPONDENT", 2, 1, 2, "Union Home Secretary"),
 ], "doc_id, label, rule_no, match_no, pos, value"))
@@ -191,3 +220,80 @@ def _(spark: SparkSession) -> DataFrame:
 
     d = spark.createDataFrame([(1, ["IPC;", " Companies Act. ", "Section 5 ipc", "companies act", "."])], "id bigint, s array<string>")
     return d.select("id", F.posexplode(text.whole_statutes(F.col("s"))).alias("p", "value")).select("id", (F.col("p") + 1).cast("bigint").alias("pos"), "value")
+
+
+# --- sources and sinks: what is written to the shared folder is read again -------------------------------------------------------
+
+
+def _place(spark: SparkSession) -> str:
+    from casemill.session import own_dir
+
+    return f"{own_dir(spark)}/source-{uuid.uuid4().hex}"
+
+
+@query("judgment_pages", values([("first\nsecond word", 2)], "text, n_files"))
+def _(spark: SparkSession) -> DataFrame:
+    """Binary files through a page reader: pages are cleaned and joined; a file that can't be read leaves an error row."""
+    at = _place(spark)
+    spark.createDataFrame([("Page 1 of 2", 1), ("first", 2), ("--", 3), ("second  word", 4)], "value string, n int").coalesce(1).sortWithinPartitions("n").select("value").write.text(at)
+    spark.createDataFrame([("broken",)], "value string").coalesce(1).write.mode("append").text(at)
+
+    def reader(content: bytes) -> list[str]:
+        if content.startswith(b"broken"):
+            raise ValueError("no pages")
+        return content.decode().split("--\n")
+
+    pages = files.pdf_pages(files.read_binary(spark, at, "txt"), reader=reader)
+    docs = files.documents_of_pages(pages.where("error IS NULL"), "path").select("text")
+    return docs.join(pages.agg(F.countDistinct("path").alias("n_files")), F.lit(True))
+
+
+@query("judgment_gazetteer_file", values([("COURT", "High Court"), ("GPE", None)], "label, pattern"))
+def _(spark: SparkSession) -> DataFrame:
+    at = _place(spark)
+    files.write_json(spark.createDataFrame([("COURT", "High Court"), ("GPE", None)], files.GAZETTEER), at)
+    return files.read_gazetteer(spark, at)
+
+
+@query("judgment_record_file", values([("A v. B", "X, Y", "allowed"), ("C v. D", None, None)], "case_name, coram, result"))
+def _(spark: SparkSession) -> DataFrame:
+    """Records as JSON lines, null fields left out, read by their schema."""
+    at = _place(spark)
+    rows = spark.createDataFrame([('{"case_name": "A v. B", "coram": ["X", "Y"], "content_info": {"order_summary": {"result": "allowed"}}}',), ('{"case_name": "C v. D"}',)], "j string")
+    files.write_json(files.parse_records(rows, "j").drop("j"), at)
+    return files.read_records(spark, at).select("case_name", F.array_join("coram", ", ").alias("coram"), F.col("content_info.order_summary.result").alias("result"))
+
+
+@query("judgment_tokens", values([(1, "COURT", "Supreme Court"), (1, "DATE", "12 May"), (2, "DATE", "11 June")], "doc_id, label, value"))
+def _(spark: SparkSession) -> DataFrame:
+    """A classifier's tokens to spans; the texts are longer than its window."""
+    d = spark.createDataFrame([(1, "Supreme Court sat on 12 May"), (2, "Sitting of the 11 June"), (3, None)], "doc_id bigint, text string")
+
+    def load():  # noqa: ANN202
+        import re
+
+        label = lambda w: "B-COURT" if w == "Supreme" else "I-COURT" if w == "Court" else "DATE" if w.isdigit() or w in ("May", "June") else "O"
+        return lambda t: [{"entity": label(m[0]), "start": m.start(), "end": m.end()} for m in re.finditer(r"\w+", t)]
+
+    t = files.predict_tokens(d, "doc_id", "body", "text", load, window=18)
+    return finding.token_spans(t.withColumnRenamed("id", "doc_id"), d, ["doc_id"], "text").select("doc_id", "label", "value")
+
+
+_RECORD = '{"case_name": "A & B v. C", "coram": ["X", null, "Y"], "advocates": {"for_appellants": ["P"]}, "provisions": [], "content_info": {"background_facts": ["f1"], "order_summary": {"result": "allowed", "directions": []}}}'
+
+
+def _record(spark: SparkSession) -> DataFrame:
+    from casemill.sources import files
+
+    return files.parse_records(spark.createDataFrame([(1, _RECORD)], "doc_id bigint, j string"), "j").drop("j")
+
+
+@query("judgment_report", values([(1, 1, "case_name", 1, "A &amp; B v. C", 1), (1, 5, "coram", 1, "X", 1), (1, 5, "coram", 2, "Y", 2), (1, 8, "for_appellants", 1, "P", 2), (1, 15, "background_facts", 1, "f1", 3), (1, 16, "result", 1, "allowed", 3)], "doc_id, section_no, section, item_no, line, page_no"))
+def _(spark: SparkSession) -> DataFrame:
+    """Lines of a report, two to a page."""
+    return projecting.page_numbers(projecting.report_lines(_record(spark), "doc_id"), "doc_id", ["section_no", "item_no"], per_page=2).drop("n_pages")
+
+
+@query("judgment_json", values([(1, '{"case_name":"A & B v. C","coram":["X",null,"Y"],"advocates":{"for_appellants":["P"]},"content_info":{"background_facts":["f1"],"order_summary":{"result":"allowed","directions":[]}}}')], "doc_id, json"))
+def _(spark: SparkSession) -> DataFrame:
+    return projecting.sparse_json(_record(spark), "doc_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,10 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; ``clean`` removes it, at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/casemill-{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        _MADE.add(path)
+        atexit.register(clean, spark)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that ``written`` made in this application. Results that still read them can't be computed again."""
+    for path in list(_MADE):
+        _MADE.discard(path)
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        else:
+            try:
+                there = spark._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            except Exception:  # noqa: BLE001, S110 - the application is already gone
+                pass
+
+
+_MADE: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,7 +83,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_casemill_shipped", None) != sc.applicationId:
         root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="casemill-")) / "casemill.zip"
+        folder = tempfile.mkdtemp(prefix="casemill-")  # of the driver, which serves the file to the executors
+        atexit.register(shutil.rmtree, folder, True)
+        target = Path(folder) / "casemill.zip"
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, f"casemill/{p.relative_to(root)}")
