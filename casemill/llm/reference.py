@@ -13,9 +13,10 @@ shards each is searched on its own and the nearest entries of the shards are mer
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,27 +29,74 @@ from casemill.llm.trie import edits
 SHARD = 5_000
 THRESHOLD = 2  # edits
 
-# Short words and the words they stand for.
-COURT_WORDS = {
-    "ct": "court", "crt": "court", "dist": "district", "distt": "district", "dt": "district", "trib": "tribunal", "comm": "commercial", "comml": "commercial", "jud": "judicial", "mag": "magistrate", "magis": "magistrate", "apex": "supreme", "sup": "supreme",
-    "hc": "high court", "sc": "supreme court", "dc": "district court", "jmc": "judicial magistrate court", "jm": "judicial magistrate", "ctt": "court",
-}
-STATUTE_WORDS = {
-    "comm": "commerce", "secs": "securities", "compn": "compensation", "lic": "licensing", "prot": "protection", "proc": "procedure", "arbn": "arbitration", "mun": "municipal", "coop": "cooperative", "insp": "inspection", "regs": "regulations", "succn": "succession", "rev": "revenue", "reg": "regulations",
-    "trf": "transfer", "recs": "records", "sett": "settlement", "settl": "settlement", "welf": "welfare", "proced": "procedure", "arb": "arbitration", "comp": "compensation", "sec": "securities",
-}
+# Fixed value: a name of the highest court that none of its letters give.
+SYNONYMS = {"apex": "supreme"}
 _COURT_NOISE = {"the", "honble", "of", "at", "judicature", "judges", "judge", "in", "for", "appellate", "side", "original"}
 _KINDS = ("act", "code", "rules", "regulations", "ordinance", "order", "bill", "statute", "constitution")
 _SECTION = re.compile(r"^\s*(?:sec(?:tion)?s?|s|ss|art(?:icle)?|rule|r|cl(?:ause)?)\b\.?\s*\d+[a-z]?(?:\s*\([^)]*\))*\s*(?:of|,)\s*", re.I)
 _YEAR = re.compile(r"(?:,|\bof\b)?\s*(?:(\b(?:1[6-9]|20)\d\d)|['’](\d\d))\s*\)?\s*$", re.I)
 
 
-def court_key(value: str) -> str:
-    """A court's words in order without noise, short words written out."""
+def shortens(short: str, word: str) -> bool:
+    """May ``short`` be an abbreviation of ``word``: its first letter and some of the others, in order?"""
+    if not 1 < len(short) < len(word) or short[0] != word[0]:
+        return False
+    rest = iter(word)
+    return all(c in rest for c in short)
+
+
+class Words:
+    """The words of the reference names, which tell what a short word may stand for."""
+
+    def __init__(self, rows: Iterable[tuple[int, str, str]]) -> None:
+        courts: Counter[str] = Counter()
+        self.initials: dict[str, set[str]] = defaultdict(set)
+        self.statutes: set[str] = set()
+        for _, label, name in rows:
+            if label == "COURT":
+                courts.update(set(_letters(fold(name))))
+                kind = [w for w in _letters(fold(name).partition(" of ")[0].partition(",")[0]) if w not in _COURT_NOISE]
+                if len(kind) > 1:
+                    self.initials["".join(w[0] for w in kind)].add("".join(kind))
+                    if kind[-1] == "court" and len(kind) > 2:
+                        self.initials["".join(w[0] for w in kind[:-1])].add("".join(kind[:-1]))
+            elif label == "STATUTE":
+                self.statutes.update(_letters(fold(name)))
+        #: words of many courts; places are not shortened, as a short place may be another one
+        self.courts = {w for w, n in courts.items() if n > 2 and w not in _COURT_NOISE}
+        self.known = set(courts)
+
+    @lru_cache(50_000)  # noqa: B019 - one object lives as long as its worker
+    def meant(self, short: str, label: str) -> tuple[str, ...]:
+        words = self.courts if label == "COURT" else self.statutes
+        found = [w for w in words if shortens(short, w) or (short.endswith("s") and shortens(short[:-1], w))]
+        begun = [w for w in found if w.startswith(short)]
+        return tuple(sorted(begun or found)) or (short,)
+
+
+def _letters(f: str) -> list[str]:
+    return re.findall(r"[a-z]+", f)
+
+
+def _spelled(choices: list[tuple[str, ...]]) -> list[str]:
+    """All texts that take one of the choices at each place; at most a few words of a name are shortened."""
+    return ["".join(x) for x in product(*choices)]
+
+
+def court_keys(value: str, words: Words | None = None) -> list[str]:
+    """A court's words in order without noise; with ``words``, every way of writing its short words out."""
     f = re.sub(r"\(\s*appellate side\s*\)|\(\s*original side\s*\)", " ", fold(value))
     f = re.sub(r"(?<=\b[a-z])\.\s?(?=[a-z]\b)", "", f)  # h.c. -> hc
-    words = re.findall(r"[a-z]+", re.sub(r"['’]", "", f))
-    return "".join(w for x in words if x not in _COURT_NOISE for w in COURT_WORDS.get(x, x).split())
+    out: list[tuple[str, ...]] = []
+    for x in _letters(re.sub(r"['’]", "", f)):
+        if x in _COURT_NOISE:
+            continue
+        x = SYNONYMS.get(x, x)
+        if words is None or x in words.known:
+            out.append((x,))
+        else:
+            out.append((*sorted(words.initials.get(x, ())), *words.meant(x, "COURT")))
+    return _spelled(out)
 
 
 def court_aliases(name: str) -> list[str]:
@@ -65,8 +113,8 @@ def court_aliases(name: str) -> list[str]:
     return out
 
 
-def statute_key(value: str) -> tuple[str, str]:
-    """(letters of the name, year: four digits, two digits or '')."""
+def statute_keys(value: str, words: Words | None = None) -> tuple[list[str], str]:
+    """(letters of the name, year: four digits, two digits or ''); words that end with a point are written out in every way."""
     f = _SECTION.sub("", fold(value).strip())
     f = re.sub(r"^\s*the\s+", "", f)
     year = ""
@@ -74,28 +122,29 @@ def statute_key(value: str) -> tuple[str, str]:
         year, f = m[1] or m[2], f[: m.start()]
     if m := re.match(r"^\s*([a-z.-]+)\s*\(([a-z .-]+)\)\s*([a-z]+)\s*$", f):
         f = f"{m[2]} {m[1]} {m[3]}"
-    words = re.findall(r"[a-z]+\.?", f.replace("co-op", "coop").replace("'", ""))
-    if len(words) > 2 and all(len(w.strip(".")) == 1 for w in words[:-1]):
-        return "".join(w.strip(".") for w in words[:-1]) + "|" + words[-1], year
-    return "".join(STATUTE_WORDS.get(w[:-1], w[:-1]) if w.endswith(".") else w for w in words), year
+    found = re.findall(r"[a-z]+\.?", f.replace("co-op", "coop").replace("'", ""))
+    if len(found) > 2 and all(len(w.strip(".")) == 1 for w in found[:-1]):
+        return ["".join(w.strip(".") for w in found[:-1]) + "|" + found[-1]], year
+    return _spelled([(w,) if not w.endswith(".") else words.meant(w[:-1], "STATUTE") if words else (w[:-1],) for w in found]), year
 
 
 class Matcher:
     """BK-trees over one shard of the reference list."""
 
-    def __init__(self, rows: list[tuple[int, str, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str, str]], words: Words | None = None) -> None:
         self.names: dict[tuple[str, str], dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))  # (label, year) -> key -> entries
         self.exact: dict[tuple[str, str, str], set[int]] = defaultdict(set)
         aliases: dict[str, set[int]] = defaultdict(set)
+        self.words = words or Words(rows)
         for entry, label, name in rows:
             if label == "COURT":
-                self.names[label, ""][court_key(name)].add(entry)
+                self.names[label, ""][court_keys(name)[0]].add(entry)
                 for a in court_aliases(name):
                     aliases[a].add(entry)
-                kind = court_key(name.partition(" of ")[0].partition(",")[0])
+                kind = court_keys(name.partition(" of ")[0].partition(",")[0])[0]
                 self.exact[label, "", kind].add(entry)
             elif label == "STATUTE":
-                key, year = statute_key(name)
+                (key,), year = statute_keys(name)
                 letters = [w[0] for w in fold(name).split() if w[0].isalpha()]
                 kind = re.findall(r"[a-z]+", fold(name))[-1]
                 for y in {year, year[-2:], ""}:
@@ -114,14 +163,22 @@ class Matcher:
 
     def ranked(self, label: str, value: str) -> tuple[int, int, int]:
         """As match, with what was met: 0 a name, 1 initials, 2 an alias, 9 nothing. A lower one goes before fewer edits."""
-        key, year = (court_key(value), "") if label == "COURT" else statute_key(value)
-        if not key:
+        keys, year = (court_keys(value, self.words), "") if label == "COURT" else statute_keys(value, self.words)
+        if not keys[0]:
             return 0, 99, 9
-        rank, got = 0, self._search(key, self.names.get((label, year), {}), self.trees.get((label, year)))
-        if not got and (hit := self.exact.get((label, year, key))):
+
+        def nearest(names: dict[str, set[int]], tree: BKTree | None) -> dict[int, int]:
+            out: dict[int, int] = {}
+            for key in [k for k in keys if k in names] or keys:  # a way of writing that is a name needs no search
+                for e, d in self._search(key, names, tree).items():
+                    out[e] = min(d, out.get(e, 9))
+            return out
+
+        rank, got = 0, nearest(self.names.get((label, year), {}), self.trees.get((label, year)))
+        if not got and (hit := set().union(*(self.exact.get((label, year, key), ()) for key in keys))):
             rank, got = 1, {e: 0 for e in hit}
         if not got and label == "COURT":
-            rank, got = 2, self._search(key, self.aliases[label], self.alias_trees[label])
+            rank, got = 2, nearest(self.aliases[label], self.alias_trees[label])
         if not got:
             return 0, 99, 9
         least = min(got.values())
@@ -157,10 +214,11 @@ def match_reference(df: DataFrame, id_col: str, fields: dict[str, tuple[str, Col
     shards = max(1, -(-n // SHARD))
     ref = reference.where(F.col("label").isin(*{label for label, _ in fields.values()})).select("entry_id", "label", "canonical_name")
     kind = df.schema[id_col].dataType.simpleString()
+    part = lambda k: [tuple(r) for r in (ref if shards == 1 else ref.where(F.pmod(F.xxhash64("entry_id"), F.lit(shards)) == k)).collect()]
+    words = Words(row for k in range(shards) for row in part(k))  # of all shards, so that short words mean the same in each
     found = None
     for k in range(shards):  # each shard has at most about SHARD rows
-        part = ref if shards == 1 else ref.where(F.pmod(F.xxhash64("entry_id"), F.lit(shards)) == k)
-        matcher = df.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+        matcher = df.sparkSession.sparkContext.broadcast((part(k), words))
         one = rows.mapInArrow(_matching(matcher), f"id {kind}, field_name string, pos int, entry_id int, edits int, rank int")
         found = one if found is None else found.unionByName(one)
     if shards == 1:
@@ -172,7 +230,7 @@ def match_reference(df: DataFrame, id_col: str, fields: dict[str, tuple[str, Col
 
 def _matching(rows):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = lru_cache(200_000)(Matcher(rows.value).ranked)
+        match = lru_cache(200_000)(Matcher(*rows.value).ranked)
         for b in batches:
             got = [match(label, v) for label, v in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays(

@@ -80,6 +80,14 @@ def test_long_headings_are_counted_whole(spark):
     assert [r["a"] for r in out if r["kind"] == "first"] == [scans.masked(heading)]
 
 
+def test_short_words_mean_what_the_list_says():
+    rows = [(1, "COURT", "District Court of Exby"), (2, "COURT", "District Court of Wyeby"), (3, "COURT", "District Court of Zedby"), (4, "COURT", "Judicial Magistrate Court, Exby"), (5, "STATUTE", "Settlement of Securities Act, 1950"), (6, "STATUTE", "Settled Estates Act, 1950")]
+    m = reference.Matcher(rows)
+    assert [m.match("COURT", v)[0] for v in ("Distt. Ct. of Exby", "Dist Crt, Wyeby", "DC Zedby", "JM Court, Exby", "JMC Exby", "District Court of Exb Town")] == [1, 2, 3, 4, 4, 0]
+    assert [m.match("STATUTE", v)[0] for v in ("Settlmt. of Secs. Act, 1950", "Sett. Estates Act", "Settl. of Secs. Act, 1951", "")] == [5, 6, 0, 0]
+    assert reference.shortens("distt", "district") and not reference.shortens("x", "xy") and not reference.shortens("court", "court")
+
+
 texts = st.text(alphabet="Ab.\n, ¶1", max_size=400)
 
 
