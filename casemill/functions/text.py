@@ -21,6 +21,7 @@ def _strip(chars: str) -> Step:
     return rf"^[{chars}]+|[{chars}]+$", ""
 
 
+# The steps of each chain, in their order.
 PRECLEAN: list[Step] = [
     (r"(?i)Page \d+ of \d+", ""), (r"_{3,}", ""), (r"-{3,}", ""), (r"(\w)-\n(\w+)", "$1$2"), (r"\n{2,}", "\n"), (r"[ \t]+", " "), (r"[’‘]", "'"), (r"[“”]", '"'), _strip(r"\s"),
 ]
