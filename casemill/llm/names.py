@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 import re
 import unicodedata
 from functools import lru_cache
@@ -29,12 +30,35 @@ NICKNAMES = {
     "fred": "frederick", "freddie": "frederick", "bill": "william", "will": "william", "billy": "william", "charlie": "charles", "chuck": "charles", "andy": "andrew", "drew": "andrew", "dave": "david", "debbie": "deborah", "deb": "deborah", "larry": "lawrence", "harry": "harold henry harish", "hank": "henry", "zach": "zachary", "zack": "zachary",
     "ray": "raymond", "ron": "ronald", "ken": "kenneth", "jeff": "jeffrey", "josh": "joshua", "abe": "abraham", "al": "albert", "walt": "walter", "leo": "leonard", "barb": "barbara", "cathy": "catherine", "nan": "nandini", "nandu": "nandini",
 }
-# Words of organisations and the short ways of writing them.
-ORG_WORDS = {
-    "ltd": "limited", "ld": "limited", "pvt": "private", "p": "private", "co": "company", "corp": "corporation", "corpn": "corporation", "inc": "incorporated", "assoc": "associates", "assocs": "associates", "associate": "associates", "wks": "works", "hsg": "housing", "soc": "society", "ins": "insurance", "elec": "electricity",
-    "bd": "board", "govt": "state", "st": "state", "ppr": "paper", "gov": "state", "government": "state", "constr": "construction", "const": "construction", "constn": "construction", "eng": "engineering", "engg": "engineering", "mfg": "manufacturing", "intl": "international", "bros": "brothers", "mun": "municipal", "munl": "municipal", "mpl": "municipal", "muni": "municipal", "chem": "chemicals", "chems": "chemicals",
-    "tex": "textiles", "text": "textiles", "log": "logistics", "logs": "logistics", "ship": "shipping", "shpg": "shipping", "fin": "finance", "min": "mining", "mng": "mining", "rlty": "realty", "pwr": "power", "sup": "supply", "sply": "supply", "mtr": "motor", "pts": "parts", "mls": "mills", "fds": "foods", "dept": "department", "univ": "university", "auth": "authority", "dev": "development",
-}
+# Short words of organisations that leave open what they stand for, or have other letters.
+ORG_WORDS = {"ltd": "limited", "ld": "limited", "pvt": "private", "p": "private", "bd": "board", "co": "company", "inc": "incorporated", "associate": "associates", "govt": "state", "gov": "state", "st": "state", "government": "state"}
+# Words of the trades and kinds of organisations; shorter words with some of their letters stand for them.
+ORG_KINDS = (
+    "associates", "authority", "board", "brothers", "chemicals", "company", "construction", "corporation", "department", "development", "electricity", "engineering", "finance", "foods", "housing", "insurance", "international",
+    "logistics", "manufacturing", "mills", "mining", "motor", "municipal", "paper", "parts", "power", "realty", "shipping", "society", "supply", "textiles", "university", "works",
+)
+
+
+def shortens(short: str, word: str) -> bool:
+    """May ``short`` be an abbreviation of ``word``: its first letter and some of the others, in order?"""
+    if not 1 < len(short) < len(word) or short[0] != word[0]:
+        return False
+    rest = iter(word)
+    return all(c in rest for c in short)
+
+
+@lru_cache(200_000)
+def org_word(word: str, is_first: bool = False) -> str:
+    """A word of an organisation written out. After the first word, which names it, an abbreviation stands for the kind that
+    begins with it, else for the shortest kind that holds its letters in order; what is left after a common beginning has no
+    vowel, as a slip of the hand may have."""
+    if word in ORG_WORDS or is_first or len(word) > 6 or word in ORG_KINDS:
+        return ORG_WORDS.get(word, word)
+    plain = word[:-1] if word.endswith("s") and len(word) > 3 else word
+    found = [k for k in ORG_KINDS for w in (word, plain) if shortens(w, k) and not set("aeiou") & set(w[len(os.path.commonprefix((w, k))) :])]
+    return min(found, key=lambda k: (not k.startswith(plain), len(k), k), default=word)
+
+
 # Words of public bodies, in the order in which they are put.
 PUBLIC = ("state", "municipal", "electricity", "development", "university", "department", "authority", "council", "commission", "corporation", "board")
 LEGAL = {"limited", "private", "company", "incorporated", "llp", "plc"}
@@ -75,9 +99,9 @@ def sound(word: str) -> str:
 
 def _org(f: str) -> list[Name]:
     f = re.sub(r"^\s*(?:m/s\.?|messrs\.?)\s*", "", f)
-    if "," in f and (m := _INVERTED_BODY.match(f)) and any(w in _ORG_MARK for w in (ORG_WORDS.get(x, x) for x in re.findall(r"[a-z]+", m[1]))):
+    if "," in f and (m := _INVERTED_BODY.match(f)) and any(w in _ORG_MARK for w in map(org_word, re.findall(r"[a-z]+", m[1]))):
         f = f"{m[2]} {m[1]}"
-    words = [ORG_WORDS.get(w, w) for w in re.findall(r"[^\W_]+", f.replace("&", " and "))]
+    words = [org_word(w, not k) for k, w in enumerate(re.findall(r"[^\W_]+", f.replace("&", " and ")))]
     words = [w for w in words if w not in ("the", "m", "s")] if len(words) > 1 else words
     if words[:2] == ["state", "of"]:
         words = [*words[2:], "state"]
@@ -96,8 +120,7 @@ def _org(f: str) -> list[Name]:
 def is_org(f: str) -> bool:
     if re.match(r"\s*(?:m/s|messrs)\b", f):
         return True
-    words = [ORG_WORDS.get(w, w) for w in re.findall(r"[^\W_]{2,}", f)]
-    return any(w in _ORG_MARK for w in words)
+    return any(ORG_WORDS.get(w.rstrip("."), w.rstrip(".")) in _ORG_MARK or (len(w) > 3 and w[-1] == "." and w[:-1] not in TITLES and org_word(w[:-1]) in _ORG_MARK) for w in re.findall(r"[^\W_]{2,}\.?", f))
 
 
 def parse(spelling: str) -> list[Name]:

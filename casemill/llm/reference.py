@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.bktree import BKTree
-from casemill.llm.names import fold, sound
+from casemill.llm.names import fold, shortens, sound
 from casemill.llm.trie import edits
 
 SHARD = 5_000
@@ -37,14 +37,6 @@ _SECTION = re.compile(r"^\s*(?:sec(?:tion)?s?|s|ss|art(?:icle)?|rule|r|cl(?:ause
 _YEAR = re.compile(r"(?:,|\bof\b)?\s*(?:(\b(?:1[6-9]|20)\d\d)|['’](\d\d))\s*\)?\s*$", re.I)
 
 
-def shortens(short: str, word: str) -> bool:
-    """May ``short`` be an abbreviation of ``word``: its first letter and some of the others, in order?"""
-    if not 1 < len(short) < len(word) or short[0] != word[0]:
-        return False
-    rest = iter(word)
-    return all(c in rest for c in short)
-
-
 class Words:
     """The words of the reference names, which tell what a short word may stand for."""
 
