@@ -39,6 +39,7 @@ from casemill.operators.packed import parse_packed
 from casemill.session import written
 
 HOT = 50_000  # names that a shard may hold before it is cut further
+SMALL = 500_000  # rows of numbers that a broadcast may have; larger tables are joined by exchanges
 _BATCH = 30_000  # rows whose tries are walked at once
 
 
@@ -222,6 +223,12 @@ def _core_number(n: Name) -> int:
     return number(n.kind + n.core)
 
 
+def small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written; sent to the executors in joins if it has no more than ``SMALL`` rows of a few numbers each."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def read_spellings(spellings: DataFrame) -> DataFrame:
     """(s, spelling, cls, options, is_first, name, c, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
     ``raw`` as written, where that differs; c and raw_c number the cores, ``cls`` the class.
@@ -245,10 +252,10 @@ def read_spellings(spellings: DataFrame) -> DataFrame:
 
     all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, raw string, raw_c bigint"), "readings")
     both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
-    words = both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
+    words = small(both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds")), "words")
     # what the words say for the natural order of a spelling; if they say nothing, it's meant
     asked = both(all_.where("way = 0"), "s").select("s", "word", (F.col("g") - F.col("l")).alias("sign"))
-    turned = asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best"))
+    turned = small(asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best")), "turned")
     lean = ("s", "spelling", "way", "options", "is_first", "name", "c", "raw", "raw_c")
     chosen = all_.where("way >= 0").select(*lean).join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
     one = all_.where("way < 0").select(*lean).unionByName(chosen).drop("way")
@@ -510,7 +517,8 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     links = written(grouped(classes.select("c", "name", "cls", "options", "n_spellings"), ["c"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
     # a bare surname may be any person of that surname
     persons = classes.where("options = 1").select("cls", "name", _field("name", "kind").alias("kind"), _field("name", "initial").alias("initial"), _field("name", "core").alias("core")).where("kind = 'person'")
-    bare = persons.where("initial = ''").select(F.col("cls").alias("bare"), F.col("core").alias("surname")).join(persons.where("initial <> ''").select("cls", F.expr("substring(core, 2)").alias("surname")), "surname")
+    bare = small(persons.where("initial = ''").select(F.col("cls").alias("bare"), F.xxhash64("core").alias("surname")), "bare")
+    bare = persons.where("initial <> ''").select("cls", F.xxhash64(F.expr("substring(core, 2)")).alias("surname")).join(bare, "surname")
     base = links.where("member IS NULL").select("cls", "rep")
     loose = links.where("member IS NOT NULL").unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member")))
     loose = written(loose, "loose")

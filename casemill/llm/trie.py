@@ -70,14 +70,18 @@ def _tail(n: int) -> int:
 
 
 def shards(s: str) -> Iterator[tuple[str, str, int, int]]:
-    """(shard, string to store there, edits-free letters h1, single-edit letters h2) of one string.
+    """(shard, string to store there, letters h1, letters h2) of one string.
 
     Of at most two edits, at most one starts in the first n - 1 - t letters (t: ``_tail``), or else the last t letters are free of
-    edits. In the first case the heads of both strings have a common form after one letter is taken away (also if a swap reaches
-    out of the head), and the walk allows one edit in the first n - 1 - t letters. In the second case the strings turned around
-    begin with the same t letters. The longer of two strings finds the other, so a string also stands where one that is up to two
-    letters longer looks for it. Short strings have no room for that: they share a form after up to two letters are taken away.
-    h2 < 0: the string is only found there, and looks for nothing.
+    edits. In the first case the heads of both strings are equal, and the walk is free of edits there; or one edit starts in the
+    heads, which then have a common form after one letter is taken away (also if a swap reaches out of the head), and only walks
+    with an edit in the head go on. Both allow one edit in the first n - 1 - t letters. In the second case the strings turned
+    around begin with the same t letters. The longer of two strings finds the other, so a string also stands where one that is up
+    to two letters longer looks for it. Short strings have no room for that: they share a form after up to two letters are taken
+    away.
+
+    h1 > 0: no edit in so many letters; h1 < 0: an edit in the first -h1 letters. h2: at most one edit in so many letters; h2 < 0:
+    the string is only found there, and looks for nothing.
     """
     n = len(s)
     if n <= _SHORT:
@@ -87,8 +91,10 @@ def shards(s: str) -> Iterator[tuple[str, str, int, int]]:
     if n > _SHORT - 2:
         looks = n > _SHORT
         t = _tail(n) if looks else 0
+        h2 = n - 1 - t if looks else -1
+        yield f"e{s[:HEAD]}", s, HEAD, h2
         for x in sorted({s[:i] + s[i + 1 : HEAD] for i in range(HEAD)}):
-            yield f"f{x}", s, 0, n - 1 - t if looks else -1
+            yield f"f{x}", s, -HEAD, h2
         back = s[::-1]
         if looks:
             yield f"b{t:03d}{back[:t]}", back, t, t
@@ -141,9 +147,10 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
     goal, cut = one << bits, word(31 << (_MOST - 2) if width >= _MOST else 0)
     low = lambda h: ~((one << np.maximum(h, 0).astype(word)) - one)
     free1, free2 = low(h1), low(h2)  # prefixes that may be reached with one and with two edits
+    free0 = np.where(h1 < 0, (one << np.maximum(-h1, 0).astype(word)) - one, ~(one - one))  # and with none
     p, v = looks, node[looks]
     r0 = np.ones(len(p), word)
-    r1 = np.where(h1[p] == 0, word(3), one) & full[p]
+    r1 = np.where(h1[p] <= 0, word(3), one) & full[p]
     r2 = (r1 | (word(7) & free2[p])) & full[p]
     t1 = t2 = np.zeros(len(p), word)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -167,7 +174,7 @@ def walk(shard: np.ndarray, strings: list[str], h1: np.ndarray, h2: np.ndarray)
         m = masks[pp, kids_letter[kid]]
         f = full[pp]
         a0, a1, a2 = r0[rep], r1[rep], r2[rep]
-        s0 = ((a0 & m) << one) & f
+        s0 = ((a0 & m) << one) & f & free0[pp]
         s1 = s0 | ((((a1 & m) << one) | a0 | (a0 << one) | (s0 << one) | ((t1[rep] & m) << two)) & f & free1[pp])
         s2 = s1 | ((((a2 & m) << one) | a1 | (a1 << one) | (s1 << one) | ((t2[rep] & m) << two)) & f & free2[pp])
         keep = np.flatnonzero(s2)
