@@ -214,11 +214,6 @@ def unpacked(x: str) -> Name:
     return Name(kind, core, core[len(initial) :] if kind == "person" else core.split(" ")[0], given, initial, middle, legal)
 
 
-def _field(col: str, name: str) -> Column:
-    """A field of a packed reading, in the JVM."""
-    return F.split_part(F.col(col), F.lit(_CUT), F.lit(1 + ("kind", "core", "given", "initial", "middle", "legal").index(name)))
-
-
 def _core_number(n: Name) -> int:
     return number(n.kind + n.core)
 
@@ -230,8 +225,9 @@ def small(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_spellings(spellings: DataFrame) -> DataFrame:
-    """(s, spelling, cls, options, is_first, name, c, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
-    ``raw`` as written, where that differs; c and raw_c number the cores, ``cls`` the class.
+    """(s, spelling, cls, options, is_first, name, c, surname, is_bare, raw, raw_c): the reading of each spelling as ``packed``, as it sounds;
+    ``raw`` as written, where that differs; c, raw_c and surname number the cores and the
+    surname, ``cls`` the class.
 
     ``options`` rows, of which one ``is_first``, if a short given name leaves several. ``spellings``: (s, spelling).
     """
@@ -245,18 +241,18 @@ def read_spellings(spellings: DataFrame) -> DataFrame:
                     for n in way:
                         same = names.sounded(n)
                         words = n.kind == "person" and n.given and n.surname
-                        rows.append((i, k if len(ways) > 1 else -1, len(way), n is way[0], number(n.given) if words else None, number(n.surname) if words else None, packed(same), _core_number(same), *((packed(n), _core_number(n)) if n != same else (None, None))))
-            got = list(zip(*rows)) or [()] * 10
-            types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(got[0], pa.int64())).columns, *map(pa.array, got[1:], types)], names=["s", "spelling", "way", "options", "is_first", "first_word", "last_word", "name", "c", "raw", "raw_c"])
+                        rows.append((i, k if len(ways) > 1 else -1, len(way), n is way[0], number(n.given) if words else None, number(n.surname) if words else None, packed(same), _core_number(same), number(same.surname) if same.kind == "person" else None, n.kind == "person" and not n.initial, *((packed(n), _core_number(n)) if n != same else (None, None))))
+            got = list(zip(*rows)) or [()] * 12
+            types = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(got[0], pa.int64())).columns, *map(pa.array, got[1:], types)], names=["s", "spelling", "way", "options", "is_first", "first_word", "last_word", "name", "c", "surname", "is_bare", "raw", "raw_c"])
 
-    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, raw string, raw_c bigint"), "readings")
+    all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, surname bigint, is_bare boolean, raw string, raw_c bigint"), "readings")
     both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
     words = small(both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds")), "words")
     # what the words say for the natural order of a spelling; if they say nothing, it's meant
     asked = both(all_.where("way = 0"), "s").select("s", "word", (F.col("g") - F.col("l")).alias("sign"))
     turned = small(asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best")), "turned")
-    lean = ("s", "spelling", "way", "options", "is_first", "name", "c", "raw", "raw_c")
+    lean = ("s", "spelling", "way", "options", "is_first", "name", "c", "surname", "is_bare", "raw", "raw_c")
     chosen = all_.where("way >= 0").select(*lean).join(turned, "s", "left").where("way = coalesce(best, 0)").drop("best")
     one = all_.where("way < 0").select(*lean).unionByName(chosen).drop("way")
     # spellings with several options are classes by themselves: each is read by its own company
@@ -457,20 +453,26 @@ def tails(s: str) -> set[str]:
 def near_classes(near: DataFrame, forms: DataFrame) -> DataFrame:
     """(a, b, is_slip): classes whose cores are near and that fit. ``forms``: (c, cls, name)."""
     side = lambda x: forms.select(F.col("c").alias(x), F.col("cls").alias(f"cls_{x}"), F.col("name").alias(f"name_{x}"))
-    pairs = near.join(side("a"), "a").join(side("b"), "b").where("cls_a <> cls_b")
-    pairs = pairs.select("cls_a", "cls_b", "d", "name_a", "name_b", *[_field(f"name_{x}", f).alias(f"{f}_{x}") for x in "ab" for f in ("kind", "given", "initial", "middle")])
-    # what can't fit is left out in the JVM: a Levenshtein distance is at most twice the edits, of which a swap is one
-    given = "given_a = given_b OR given_a = '' OR given_b = '' OR (d < 2 AND levenshtein(given_a, given_b, 2) >= 0) OR (least(length(given_a), length(given_b)) > 3 AND regexp_like(concat(given_a, given_b), 'ee|oo|ph|ck'))"
-    apart = "given_a <> '' AND given_b <> '' AND levenshtein(given_a, given_b, 4) >= 0"
-    middle = "middle_a = '' OR middle_b = '' OR length(middle_a) > 1 AND length(middle_b) > 1 OR left(middle_a, 1) = left(middle_b, 1)"
-    pairs = pairs.where(f"kind_a = 'org' OR (({middle}) AND (initial_a = initial_b AND ({given}) OR initial_a <> initial_b AND {apart} OR initial_a = '' OR initial_b = ''))").select("cls_a", "cls_b", "d", "name_a", "name_b")
+    pairs = side("a").join(near, "a").join(side("b"), "b").where("cls_a <> cls_b")
+    pairs = pairs.select("cls_a", "cls_b", "d", "name_a", "name_b")
+
+    def hopeless(a: Name, b: Name, d: int) -> bool:
+        """Persons that differ too much in what costs nothing to compare."""
+        if a.kind == "org" or not a.initial or not b.initial:
+            return False
+        if a.middle and b.middle and a.middle[0] != b.middle[0] and min(len(a.middle), len(b.middle)) == 1:
+            return True
+        if a.given == b.given:
+            return False
+        short = min(len(a.given), len(b.given))
+        return (short > 0 and (short < 4 or abs(len(a.given) - len(b.given)) > 2)) if a.initial == b.initial else short < 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for ca, cb, d, na, nb in zip(*(c.to_pylist() for c in b.columns)):
                 x, y = unpacked(na), unpacked(nb)
-                if fits(x, y, d):
+                if not hopeless(x, y, d) and fits(x, y, d):
                     out.append((min(ca, cb), max(ca, cb), slip(x, y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "is_slip"])
 
@@ -513,12 +515,12 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     """
     spellings = met_.where("spelling IS NOT NULL").select("s", "spelling").distinct()
     read = written(read_spellings(spellings), "read")
-    classes = written(read.groupBy("cls", "options", "name", "c").agg(F.count("*").cast("int").alias("n_spellings")), "classes")
+    classes = written(read.groupBy("cls", "options", "name", "c", "surname", "is_bare").agg(F.count("*").cast("int").alias("n_spellings")), "classes")
     links = written(grouped(classes.select("c", "name", "cls", "options", "n_spellings"), ["c"], core_links, "cls bigint, rep bigint, member bigint"), "core-links")
     # a bare surname may be any person of that surname
-    persons = classes.where("options = 1").select("cls", "name", _field("name", "kind").alias("kind"), _field("name", "initial").alias("initial"), _field("name", "core").alias("core")).where("kind = 'person'")
-    bare = small(persons.where("initial = ''").select(F.col("cls").alias("bare"), F.xxhash64("core").alias("surname")), "bare")
-    bare = persons.where("initial <> ''").select("cls", F.xxhash64(F.expr("substring(core, 2)")).alias("surname")).join(bare, "surname")
+    persons = classes.where("options = 1 AND surname IS NOT NULL").select("cls", "surname", "is_bare")
+    bare = small(persons.where("is_bare").select(F.col("cls").alias("bare"), "surname"), "bare")
+    bare = persons.where("NOT is_bare").select("cls", "surname").join(bare, "surname")
     base = links.where("member IS NULL").select("cls", "rep")
     loose = links.where("member IS NOT NULL").unionByName(bare.join(base, "cls", "left").select(F.col("bare").alias("cls"), F.coalesce("rep", "cls").alias("rep"), F.col("cls").alias("member")))
     loose = written(loose, "loose")
@@ -526,22 +528,23 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     raw = read.where("raw IS NOT NULL AND options = 1").select("cls", F.col("raw").alias("name"), F.col("raw_c").alias("c")).distinct()
     forms = classes.where("options = 1").select("cls", "name", "c").unionByName(raw)
     cores = forms.select(F.substring_index("name", _CUT, 2).alias("core"), "c").distinct()
-    near = written(near_classes(near_cores(cores), forms), "near")
+    near = written(near_classes(small(near_cores(cores), "near-cores"), forms), "near")
 
     # node of a class: its representative; of a spelling: that of its class, or the spelling itself where the class is ambiguous
     state = base.select("cls", "rep", F.lit(False).alias("is_loose")).unionByName(loose.select("cls", F.lit(None).cast("bigint").alias("rep"), F.lit(True).alias("is_loose")))
-    state = state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose"))
+    state = small(state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose")), "state")
     wanted = near.select(F.col("a").alias("cls"), F.col("b").alias("with"), F.lit(None).cast("bigint").alias("rep")).unionByName(loose.select("cls", F.col("member").alias("with"), "rep"))
-    asked = wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked"))
+    wanted = small(wanted, "wanted")
+    asked = small(wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked")), "asked")
     nodes = read.where("is_first").select("s", "cls").join(state, "cls", "left").join(asked, "cls", "left")
     nodes = written(nodes.select("s", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("is_asked").isNotNull().alias("is_asked")), "nodes")
-    placed = met_.where("g IS NOT NULL").select("g", "s").join(nodes.where("is_asked").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct()
+    placed = met_.where("g IS NOT NULL").select("g", "s").join(small(nodes.where("is_asked").select("s", "cls", "node"), "asked-nodes"), "s").select("g", "cls", "node").distinct()
     placed = written(placed, "placed")
     other = placed.select("g", F.col("cls").alias("with"), F.col("node").alias("other"))
-    together = wanted.join(placed, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
+    together = placed.join(wanted, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
     together = written(together, "together")
     voted = together.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
-    linked = components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other")
+    linked = small(components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other"), "linked")
     entity = written(nodes.join(linked, "node", "left").select("s", "cls", "is_loose", F.coalesce("component", "node").alias("entity")), "entities")
     wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes, placed), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
