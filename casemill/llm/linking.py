@@ -39,7 +39,7 @@ from casemill.operators.packed import parse_packed
 from casemill.session import written
 
 HOT = 50_000  # names that a shard may hold before it is cut further
-SMALL = 500_000  # rows of numbers that a broadcast may have; larger tables are joined by exchanges
+SMALL = 20_000  # rows of numbers that a broadcast may have; larger tables are joined by exchanges
 _BATCH = 30_000  # rows whose tries are walked at once
 
 
@@ -248,7 +248,7 @@ def read_spellings(spellings: DataFrame) -> DataFrame:
 
     all_ = written(spellings.mapInArrow(run, "s bigint, spelling string, way int, options int, is_first boolean, first_word bigint, last_word bigint, name string, c bigint, surname bigint, is_bare boolean, raw string, raw_c bigint"), "readings")
     both = lambda df, *more: df.select(*more, F.explode(F.array(F.struct(F.col("first_word").alias("word"), F.lit(1).alias("g"), F.lit(0).alias("l")), F.struct(F.col("last_word").alias("word"), F.lit(0).alias("g"), F.lit(1).alias("l")))).alias("w")).select(*more, "w.*")
-    words = small(both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds")), "words")
+    words = both(all_.where("way < 0 AND options = 1 AND first_word IS NOT NULL")).groupBy("word").agg((F.log(F.sum("g") + F.lit(0.1)) - F.log(F.sum("l") + F.lit(0.1))).alias("odds"))
     # what the words say for the natural order of a spelling; if they say nothing, it's meant
     asked = both(all_.where("way = 0"), "s").select("s", "word", (F.col("g") - F.col("l")).alias("sign"))
     turned = small(asked.join(words, "word").groupBy("s").agg(F.sum(F.col("sign") * F.col("odds")).alias("score")).where("score < 0").select("s", F.lit(1).alias("best")), "turned")
@@ -528,23 +528,22 @@ def link_spellings(met_: DataFrame) -> DataFrame:
     raw = read.where("raw IS NOT NULL AND options = 1").select("cls", F.col("raw").alias("name"), F.col("raw_c").alias("c")).distinct()
     forms = classes.where("options = 1").select("cls", "name", "c").unionByName(raw)
     cores = forms.select(F.substring_index("name", _CUT, 2).alias("core"), "c").distinct()
-    near = written(near_classes(small(near_cores(cores), "near-cores"), forms), "near")
+    near = written(near_classes(near_cores(cores), forms), "near")
 
     # node of a class: its representative; of a spelling: that of its class, or the spelling itself where the class is ambiguous
     state = base.select("cls", "rep", F.lit(False).alias("is_loose")).unionByName(loose.select("cls", F.lit(None).cast("bigint").alias("rep"), F.lit(True).alias("is_loose")))
-    state = small(state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose")), "state")
+    state = state.groupBy("cls").agg(F.max("rep").alias("rep"), F.max("is_loose").alias("is_loose"))
     wanted = near.select(F.col("a").alias("cls"), F.col("b").alias("with"), F.lit(None).cast("bigint").alias("rep")).unionByName(loose.select("cls", F.col("member").alias("with"), "rep"))
-    wanted = small(wanted, "wanted")
-    asked = small(wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked")), "asked")
+    asked = wanted.select("cls").union(wanted.select("with")).distinct().select("cls", F.lit(True).alias("is_asked"))
     nodes = read.where("is_first").select("s", "cls").join(state, "cls", "left").join(asked, "cls", "left")
     nodes = written(nodes.select("s", "cls", F.when(F.col("is_loose"), F.col("s")).otherwise(F.coalesce("rep", "cls")).alias("node"), F.coalesce("is_loose", F.lit(False)).alias("is_loose"), F.col("is_asked").isNotNull().alias("is_asked")), "nodes")
-    placed = met_.where("g IS NOT NULL").select("g", "s").join(small(nodes.where("is_asked").select("s", "cls", "node"), "asked-nodes"), "s").select("g", "cls", "node").distinct()
+    placed = met_.where("g IS NOT NULL").select("g", "s").join(nodes.where("is_asked").select("s", "cls", "node"), "s").select("g", "cls", "node").distinct()
     placed = written(placed, "placed")
     other = placed.select("g", F.col("cls").alias("with"), F.col("node").alias("other"))
     together = placed.join(wanted, "cls").join(other, ["g", "with"]).where("node <> other").groupBy("node", F.coalesce("rep", "other").alias("other"), F.col("rep").isNull().alias("is_near")).agg(F.countDistinct("g").alias("n"))
     together = written(together, "together")
     voted = together.where("NOT is_near").groupBy("node").agg(F.max(F.struct("n", "other"))["other"].alias("other"))
-    linked = small(components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other"), "linked")
+    linked = components(together.where("is_near").select("node", "other").unionByName(voted), "node", "other")
     entity = written(nodes.join(linked, "node", "left").select("s", "cls", "is_loose", F.coalesce("component", "node").alias("entity")), "entities")
     wide = written(_wide_links(near.where("is_slip").select("a", "b"), entity.where("NOT is_loose").select("cls", "entity").distinct(), classes, placed), "wide-links")
     merged = components(wide, "sa", "sb").select(F.col("node").alias("entity"), "component")
