@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 MAX_GRADED = 6_000
 MAX_PAIRS = 60_000
-MAX_VOCABULARY = 20_000
 SEED = 7
 
 # Frequent words that tell languages apart.
@@ -102,14 +101,14 @@ def features(text: str | None, words: Words) -> list[float] | None:
 
 
 def learn_vocabulary(graded: list[tuple[str, float]]) -> dict[str, float]:
-    """Mean grade of the documents in which a word stands, shrunk to the mean of all; the most frequent words only."""
+    """Mean grade of the documents in which a word stands, shrunk to the mean of all; words of five documents or more."""
     total, seen = Counter(), Counter()
     mean = sum(g for _, g in graded) / max(1, len(graded))
     for text, g in graded:
         for w in word_counts(prose(text)):
             total[w] += g
             seen[w] += 1
-    return {w: (total[w] + 5 * mean) / (k + 5) for w, k in seen.most_common(MAX_VOCABULARY) if k > 4}
+    return {w: (total[w] + 5 * mean) / (k + 5) for w, k in seen.items() if k > 4}
 
 
 def learn_ranker(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> np.ndarray:

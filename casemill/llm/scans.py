@@ -192,12 +192,10 @@ def gather(segments: DataFrame, id_col: str, parts: dict[str, Column]) -> tuple[
     return [(r["a"], r["n"]) for r in of("word")], [(r["a"], r["b"], r["n"]) for r in of("pair")], headers
 
 
-def furniture(lines: list[str], captions: list[str], headers: set[str], repeated: Counter[str]) -> set[int]:
-    """Numbers of the lines that are page numbers or running headers."""
-    pages = page_lines(lines)
+def furniture(lines: list[str], pages: set[int], beside: dict[int, str], captions: list[str], headers: set[str], repeated: Counter[str]) -> set[int]:
+    """Numbers of the lines that are page numbers or running headers; ``beside``: the masked lines next to page numbers."""
     found = set(pages)
-    for j in _beside(lines, pages):
-        m = masked(lines[j])
+    for j, m in beside.items():
         if len(m) > 4 and (m in headers or (repeated[m] > 1 and len(m) > 12) or any(c in m and len(m) < 2 * len(c) + 40 for c in captions)) and not re.search(r"[.;,:]$", lines[j].strip()) and not lines[j].strip()[0].islower():
             found.add(j)
     return found
@@ -208,13 +206,14 @@ def defects(parts: list[str | None], header: str | None, lex: Lexicon) -> list[t
     captions, out = _caption(header), []
     split = [(t or "").split("\n") for t in parts]
     repeated: Counter[str] = Counter()
-    for lines in split:
-        for j in _beside(lines, page_lines(lines)):
-            repeated[masked(lines[j])] += 1
+    pages = [page_lines(lines) for lines in split]
+    beside = [{j: masked(lines[j]) for j in _beside(lines, own)} if own else {} for lines, own in zip(split, pages)]
+    for of in beside:
+        repeated.update(of.values())
     for p, lines in enumerate(split):
         if not parts[p]:
             continue
-        gone = furniture(lines, captions, lex.headers, repeated)
+        gone = furniture(lines, pages[p], beside[p], captions, lex.headers, repeated)
         out += [(p, i, "furniture", None, None) for i in sorted(gone)]
         own = [(i, lines[i].split(), lines[i].lower().split()) for i in range(len(lines)) if i not in gone and lines[i].strip()]
         skip = 0  # the first word of a line may belong to the line before
