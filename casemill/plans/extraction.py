@@ -11,10 +11,20 @@ from casemill.functions import rules, text
 from casemill.functions.rules import Rule
 from casemill.functions.text import literal as q
 from casemill.operators import assembly, extracting, finding, merging, projecting, quality, segmenting, selecting
-from casemill.plans.cleaning import table
+from casemill.plans import cleaning
 
 AS_OF = "2025-01-01"
 AS_OF_YEAR = 2025
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table. Texts that lie in fewer splits than half the cores are spread over all cores, as the rules over them cost far
+    more than moving them; tables of many files are read as they are."""
+    df = cleaning.table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "segments") and df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
